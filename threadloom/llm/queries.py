@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import conversations, splitting
+from threadloom.llm import contamination, conversations, neighbours, reading, splitting
 from threadloom.session import table
 
 
@@ -25,11 +25,40 @@ def p5_conversations(spark: SparkSession, root: str) -> DataFrame:
     return conversations.conversations(table(spark, root, "messages"))
 
 
+def _chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "chunks").select(F.col("chunk_id").alias("id"), "embedding")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.pairs(neighbours.neighbours(_chunk_vectors(spark, root)))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_leaks(spark, root).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_levels(spark, root).where(F.col("level") >= 4).select("doc_id")
+
+
+def p8_levels(spark: SparkSession, root: str) -> DataFrame:
+    return reading.reading_levels(table(spark, root, "documents"), table(spark, root, "reading_labels"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_conversations": p5_conversations,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 
 ORACLES: dict[str, str] = {
