@@ -63,3 +63,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Needed where the package is not installed and the session was started from
+    another folder; the path must exist on the executors, as in local mode.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    return spark
