@@ -43,8 +43,8 @@ class Options:
     sample: int = 20_000
     per_cell: float = 4.0
     most_centroids: int = 512
-    candidates: int = 200
-    region: int = 1500
+    candidates: int = 1000
+    region: int = 3000
     rounds: int = 8
 
 
