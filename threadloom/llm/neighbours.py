@@ -41,10 +41,10 @@ class Options:
     k: int = 5
     dim: int = 64
     sample: int = 20_000
-    per_cell: float = 4.0
+    per_cell: float = 8.0
     most_centroids: int = 512
     candidates: int = 1000
-    region: int = 3000
+    region: int = 5000
     rounds: int = 8
 
 
