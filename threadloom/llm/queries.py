@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import contamination, conversations, neighbours, reading, splitting
+from threadloom.llm import contamination, conversations, neighbours, privacy, reading, splitting
 from threadloom.session import table
 
 
@@ -25,6 +25,14 @@ def p5_conversations(spark: SparkSession, root: str) -> DataFrame:
     return conversations.conversations(table(spark, root, "messages"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return privacy.mentions(table(spark, root, "cache_entries"))
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return privacy.redacted(table(spark, root, "cache_entries"))
+
+
 def _chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select(F.col("chunk_id").alias("id"), "embedding")
 
@@ -52,6 +60,8 @@ def p8_levels(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_conversations": p5_conversations,
