@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import contamination, conversations, neighbours, privacy, reading, splitting
+from threadloom.llm import contamination, conversations, mixing, neighbours, privacy, reading, splitting
 from threadloom.session import table
 
 
@@ -49,6 +49,14 @@ def p6_leaks(spark: SparkSession, root: str) -> DataFrame:
     return contamination.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_levels(spark, root).where(F.col("level") >= 4).select("doc_id")
 
@@ -67,6 +75,8 @@ QUERIES = {
     "p5_conversations": p5_conversations,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }
