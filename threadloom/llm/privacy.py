@@ -98,15 +98,20 @@ _CODE_CITY = re.compile(rf"(?:, |,?\s)\d{{5}} ({_CITY_WORD})(?: ({_CITY_WORD}))?
 _ONLY_CITY = re.compile(rf", ({_CITY_WORD})(?: ({_CITY_WORD}))?")
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: What a person's name follows, or precedes (fixed words). Only for counting.
-_RUN = r"((?:[^\W\d_]\. ?)?[^\W\d_]{2,}(?:-[^\W\d_]{2,})*(?:,? (?:[^\W\d_]\. ?)?[^\W\d_]{2,}(?:-[^\W\d_]{2,})*)?)"
-_AFTER = re.compile(
-    r"(?:\b(?:Author|Co-authored-by|Signed-off-by|Reviewed-by|Reported-by|Acked-by|Assignee|Name):|\b(?:signed off|reviewed|written|reported) by|"
-    r"\b[Pp]lease ping|\b[Pp]airing with|\bI (?:told|asked|met)|\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sr|Sra)\.?|prévenir|\bBitte|\bAnschrift von|"
-    r"see you there,|thanks(?: again)?,|\bcan reach|\bcustomer,|\bTODO\(|\bDemande de|\bholder|belongs to|\"(?:owner|name|author|user)\": ?\"|"
-    rf"\bname,e?mail[\w,]*|\d /|{_DIGIT_WORD} /|(?:^|\n| )\|)\s*" + _RUN
-)
-_BEFORE = re.compile(_RUN + r"(?= lives at\b| said the\b| <@>| \(@\)|, domicile\b| \| [+(\d])")
+#: What a person's name follows (fixed words). Only for counting.
+_AFTER = (
+    "Author:", "authored-by:", "Signed-off-by:", "Reviewed-by:", "Reported-by:", "Acked-by:", "Assignee:", "Name:",
+    "igned off by", "eviewed by", "ritten by", "eported by", "lease ping", "airing with", "I told", "I asked", "I met",
+    "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Herr ", "Frau ", "Mme ", "Señor", "prévenir", "Bitte ", "nschrift von", "see you there,", "hanks again,",
+    "can reach", "customer,", "TODO(", "Demande de", "holder ", "belongs to", '"owner": "', '"name": "', '"author": "', '"user": "', "national_id", " / ",
+)
+#: What follows a person's name (fixed words); mailboxes are an @ by then.
+_BEFORE = (" lives at", " said the", " <@>", " (@)", ", domicile", " | ")
+_NAME = r"(?:[^\W\d_]\. ?)?[^\W\d_]{2,}(?:-[^\W\d_]{2,})*"
+_RUN = re.compile(rf"\s*({_NAME}(?:,? {_NAME})?)")
+_RUN_BACK = re.compile(rf"(?:^|(?<=[^\w-]))({_NAME}(?:,? {_NAME})?)$")
+_NUMBER_BEFORE = re.compile(rf"(?:\d|\b{_DIGIT_WORD})$", re.I)
+_CAPITAL = re.compile(r"(?<![^\W\d_])(?=[^\W\d_a-zß-öø-ÿ])[^\W\d_]+")
 #: Titles and words of the cues, which are no names wherever they stand (fixed words).
 _NO_NAMES = frozenset(
     "the a an and or on in at to for of is as before tomorrow under lives said anrufen born moved dr mr mrs ms prof herr frau mme bitte "
@@ -176,6 +181,27 @@ def shaped(text: str, places) -> list[tuple[int, int, str]]:
 # -- what terms disclose -----------------------------------------------------------------
 
 
+def _cued(text: str) -> Iterator[str]:
+    """Runs of words next to a cue, where a person may be named."""
+    for cue in _AFTER:
+        at = text.find(cue)
+        while at >= 0:
+            end = at + len(cue)
+            if cue != " / " or _NUMBER_BEFORE.search(text, max(0, at - 6), at):
+                run = _RUN.match(text, end)
+                if run:
+                    yield run[1]
+            at = text.find(cue, end)
+    for cue in _BEFORE:
+        at = text.find(cue)
+        while at >= 0:
+            if cue != " | " or _PHONE.match(text, at + 3):
+                run = _RUN_BACK.search(text[max(0, at - 48) : at])
+                if run:
+                    yield run[1]
+            at = text.find(cue, at + len(cue))
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per term: occurrences, capitalised ones, at a cue, first and last of a run there."""
     total: Counter[str] = Counter()
@@ -213,20 +239,17 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if "@" in text or " at " in text or "(at)" in text or "[at]" in text:
                     for a, b in reversed(list(_emails(text))):  # a mailbox is a mention of its own
                         text = f"{text[:a]}@{text[b:]}"
-                words = _TOKEN.findall(text)
-                total.update(w.lower() for w in words)
-                upper.update(w.lower() for w in words if w[0].isupper())
-                for pattern in (_AFTER, _BEFORE):
-                    for m in pattern.finditer(text):
-                        run = m[1]
-                        tokens = [w.lower() for w in _TOKEN.findall(run) if len(w) > 1]
-                        cued.update(set(tokens))
-                        if len(tokens) > 1 and "," not in run:
-                            first[tokens[0]] += 1
-                            last.update(tokens[1:])
-                        elif len(tokens) == 2 and ", " in run and run.rpartition(", ")[2][:1].isupper():
-                            first[tokens[1]] += 1
-                            last[tokens[0]] += 1
+                total.update(_TOKEN.findall(text.lower()))
+                upper.update(map(str.lower, _CAPITAL.findall(text)))
+                for run in _cued(text):
+                    tokens = [w.lower() for w in _TOKEN.findall(run) if len(w) > 1]
+                    cued.update(set(tokens))
+                    if len(tokens) > 1 and "," not in run:
+                        first[tokens[0]] += 1
+                        last.update(tokens[1:])
+                    elif len(tokens) == 2 and ", " in run and run.rpartition(", ")[2][:1].isupper():
+                        first[tokens[1]] += 1
+                        last[tokens[0]] += 1
         if len(total) > 300_000:
             yield from give()
     yield from give()
