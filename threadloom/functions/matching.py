@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from threadloom.functions.text import WHITE
-
 # Characters besides white space that separate words.
 SEPARATORS = (
     "_-/"
@@ -13,7 +11,11 @@ SEPARATORS = (
     "\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f\u201c\u201d\u2018\u2019\u2014\u2026\u00b7"
 )
 
-_SEPARATOR_CLASS = f"[{WHITE}\\-{SEPARATORS.replace('-', '')}]"
+# Unicode's white space.
+_WHITE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_TO_SPACE = "".join(dict.fromkeys(_WHITE + SEPARATORS))
 _NO_LETTER_AT_END = r"[^\p{IsAlphabetic}\p{N}]\z"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
@@ -37,7 +39,7 @@ def fold_case(col: Column) -> Column:
 def normalize(col: Column | str) -> Column:
     """Each separator becomes one space, everything else is lower-cased; no trimming."""
     col = F.col(col) if isinstance(col, str) else col
-    return fold_case(F.regexp_replace(col, _SEPARATOR_CLASS, " "))
+    return fold_case(F.translate(col, _TO_SPACE, " " * len(_TO_SPACE)))
 
 
 def normalize_text(text: str) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions.labels import freshness
-from threadloom.functions.matching import adjacent_count, all_of, has_cjk, has_literal, has_prefix, prefix_count
+from threadloom.functions.matching import adjacent_count, all_of, fold_case, has_cjk, has_literal, has_prefix, prefix_count
 from threadloom.plans.query import ParsedQuery, parse
+from threadloom.session import held
 
 # Weight of a field, most occurrences of a word, most adjacent pairs.
 WEIGHTS = {"title": 5.0, "project": 4.0, "summary": 3.0, "body": 1.0}
@@ -38,7 +39,9 @@ def search(corpus: DataFrame, query: str | ParsedQuery, now: Column, top: int |
         out = found.withColumn("freshness", fresh).withColumn("score", F.col("freshness"))
         order = [F.col("mtime").desc_nulls_last(), F.col("conv_ref")]
     else:
-        found = found.where(all_of([F.contains("text_l", F.lit(w)) for w in words]))
+        # Words hold no separators, so the raw text in lower case decides; it is cheaper.
+        raw = fold_case(F.col("literal_text"))
+        found = found.where(all_of([F.contains(raw, F.lit(w)) for w in words]))
         prefixed = all_of([has_prefix(F.col("text_l"), w) for w in words])
         cjk = any(has_cjk(w) for w in words)
         parts = {name: field_score(F.col(f"{name}_l"), weight, words) for name, weight in WEIGHTS.items()}
@@ -46,7 +49,7 @@ def search(corpus: DataFrame, query: str | ParsedQuery, now: Column, top: int |
         if cjk:
             total = F.when(prefixed, total).otherwise(0.5 * len(words))
         else:
-            found = found.where(prefixed)
+            found = held(found, prefixed)
         out = found.withColumn("freshness", fresh)
         if debug:
             for name, (tf, pairs) in parts.items():

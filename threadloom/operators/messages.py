@@ -8,6 +8,7 @@ from threadloom.functions.labels import SEGMENT_CHARS, head_and_tail, tool_summa
 from threadloom.functions.matching import all_of, fold_case, has_literal, is_sensitive, normalize, quote, word_matches
 from threadloom.functions.text import is_blank, squeeze
 from threadloom.plans.query import ParsedQuery, parse
+from threadloom.session import held
 
 #: Where a hit was found, by rank (fixed values).
 SOURCES = ("dialogue", "tool", "thinking")
@@ -26,7 +27,7 @@ def segment_text(part: Column) -> Column:
 def segments(rows: DataFrame) -> DataFrame:
     """Messages with their searchable segments and the body they make up.
 
-    Adds ``segments`` (``text, source`` as rank, ``tools, tool_results, thinking`` and
+    Adds ``segments`` (``text, normal, source`` as rank, ``tools, tool_results, thinking`` and
     the offsets of the segment in bytes and characters) and ``body``, the segments'
     texts joined by line ends. Messages without a segment are left out.
     """
@@ -41,7 +42,8 @@ def segments(rows: DataFrame) -> DataFrame:
             kind(p, "thinking").alias("thinking"),
         ),
     )
-    kept = rows.withColumn("segments", F.filter(raw, lambda s: ~is_blank(s["text"]))).where(F.size("segments") > 0)
+    texts = F.transform(F.filter(raw, lambda s: ~is_blank(s["text"])), lambda s: s.withField("normal", normalize(s["text"])))
+    kept = held(rows.withColumn("segments", texts), F.size("segments") > 0)
     start = lambda measure: F.aggregate(
         "segments",
         F.array().cast("array<int>"),
@@ -56,32 +58,68 @@ def segments(rows: DataFrame) -> DataFrame:
     )
 
 
-def _word_span(s: Column, word: str) -> Column:
+def _word_span(word: str):
     """A word's match covers its whole segment."""
-    hit = word_matches(normalize(s["text"]), word)
-    return F.when(
-        hit,
-        F.struct(
-            s["byte"].alias("b0"), (s["byte"] + F.octet_length(s["text"])).alias("b1"), s["char"].alias("c0"), (s["char"] + F.length(s["text"])).alias("c1")
-        ),
-    )
+
+    def span(s: Column) -> Column:
+        return F.when(
+            word_matches(s["normal"], word),
+            F.struct(
+                s["byte"].alias("b0"),
+                (s["byte"] + F.octet_length(s["text"])).alias("b1"),
+                s["char"].alias("c0"),
+                (s["char"] + F.length(s["text"])).alias("c1"),
+            ),
+        )
+
+    return span
 
 
-def _literal_span(s: Column, literal: str) -> Column:
+def _literal_span(literal: str):
     """From the first to the last occurrence of a literal in a segment."""
-    text = s["text"] if is_sensitive(literal) else fold_case(s["text"])
     needle = literal if is_sensitive(literal) else literal.lower()
-    around = F.split(text, quote(needle), -1)
-    first, last = F.element_at(around, 1), F.element_at(around, -1)
-    return F.when(
-        F.contains(text, F.lit(needle)),
-        F.struct(
-            (s["byte"] + F.octet_length(first)).alias("b0"),
-            (s["byte"] + F.octet_length(text) - F.octet_length(last)).alias("b1"),
-            (s["char"] + F.length(first)).alias("c0"),
-            (s["char"] + F.length(text) - F.length(last)).alias("c1"),
-        ),
-    )
+
+    def span(s: Column) -> Column:
+        text = s["text"] if is_sensitive(literal) else fold_case(s["text"])
+        around = F.split(text, quote(needle), -1)
+        first, last = F.element_at(around, 1), F.element_at(around, -1)
+        return F.when(
+            F.contains(text, F.lit(needle)),
+            F.struct(
+                (s["byte"] + F.octet_length(first)).alias("b0"),
+                (s["byte"] + F.octet_length(text) - F.octet_length(last)).alias("b1"),
+                (s["char"] + F.length(first)).alias("c0"),
+                (s["char"] + F.length(text) - F.length(last)).alias("c1"),
+            ),
+        )
+
+    return span
+
+
+def _may_hold(text: str) -> Column:
+    """False only for messages none of whose parts can hold ``text`` (in lower case).
+
+    Literals may run over the end of a part, so they are looked for piece by piece;
+    parts above a segment's size always may, as they are cut.
+    """
+    pieces = [F.lit(p) for p in text.split("\n") if p]
+    longest = max(text.split("\n"), key=len)
+    if not pieces:
+        return F.lit(True)
+    fields = ("text", "content", "name", "input")
+
+    def holds(p: Column) -> Column:
+        out = F.contains(F.lit("tool input_keys=,"), F.lit(longest))
+        for f in fields:
+            out = out | F.contains(fold_case(p[f]), F.lit(longest)) | (F.length(p[f]) > SEGMENT_CHARS)
+        # A tool's summary is put together from its name and keys.
+        return out | (p["kind"] == "tool_use") if any(c in longest for c in " =,_") else out
+
+    return F.coalesce(F.exists("parts", lambda p: F.coalesce(holds(p), F.lit(False))), F.lit(False))
+
+
+def _any(flag: str) -> Column:
+    return F.exists("_touched", lambda s: s[flag])
 
 
 def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFrame:
@@ -98,16 +136,15 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFram
     words, literals = ([], list(q.literals)) if q.quoted_only else (q.words, q.required)
     if not words and not literals:
         words = ["\0"]  # nothing holds it
-    parts = segments(rows).withColumn("normal", normalize("body"))
-    # Cheap tests on the body first; they are what most messages fail.
-    found = parts.where(
-        all_of([F.contains("normal", F.lit(w)) for w in words] + [has_literal(F.col("body"), x) for x in literals])
-    ).where(all_of([word_matches(F.col("normal"), w) for w in words]))
-    spans = [F.transform("segments", lambda s, w=w: _word_span(s, w)) for w in words]
-    spans += [F.transform("segments", lambda s, x=x: _literal_span(s, x)) for x in literals]
+    # Most messages fail cheap tests on their raw parts, before any segment is built.
+    likely = rows.where(all_of([_may_hold(w) for w in words] + [_may_hold(x.lower()) for x in literals]))
+    parts = segments(likely).withColumn("normal", F.array_join(F.transform("segments", lambda s: s["normal"]), " "))
+    found = held(parts, all_of([has_literal(F.col("body"), x) for x in literals] + [word_matches(F.col("normal"), w) for w in words]))
+    spans = [F.transform("segments", _word_span(w)) for w in words]
+    spans += [F.transform("segments", _literal_span(x)) for x in literals]
     found = found.withColumn("_terms", F.array(*spans))
     flat = F.filter(F.flatten("_terms"), lambda x: x.isNotNull())
-    found = found.withColumn("_spans", flat).where(F.size("_spans") > 0)
+    found = held(found.withColumn("_spans", flat), F.size("_spans") > 0)
     matched = F.size(F.filter("_terms", lambda t: F.exists(t, lambda x: x.isNotNull())))
     touched = F.filter(F.transform("segments", lambda s, i: F.when(F.exists("_terms", lambda t: F.get(t, i).isNotNull()), s)), lambda s: s.isNotNull())
     found = found.withColumn("_touched", touched)
@@ -124,7 +161,7 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFram
         F.element_at(F.array(*map(F.lit, SOURCES)), F.array_min(F.transform("_touched", lambda s: s["source"])) + 1).alias("source"),
         preview.alias("preview"),
         low("b0").alias("first_offset"),
-        *[F.exists("_touched", lambda s, o=o: s[o]).alias(o) for o in ("tools", "tool_results", "thinking")],
+        *[_any(o).alias(o) for o in ("tools", "tool_results", "thinking")],
         (~is_blank("parent_tool_use_id")).alias("subagents"),
     )
     sizes = rows.groupBy("conv_ref").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from threadloom.functions.matching import all_of, fold_case, has_literal, normalize, normalize_text, word_matches
 from threadloom.plans.query import parse
@@ -142,7 +143,7 @@ def build_chunks(entries: DataFrame, options: ChunkOptions = ChunkOptions()) ->
 
 def embed(chunks: DataFrame, embedder: Embedder, batch: int = 32) -> DataFrame:
     """Adds ``embedding``; passages are embedded in small batches inside Arrow batches."""
-    schema = chunks.schema.add("embedding", "array<float>")
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches):
         for b in batches:

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import delivery_queries
-
-_MODULES = (delivery_queries,)
+from threadloom.plans import delivery_queries, search_oracles, search_queries
 
 
 def queries() -> dict:
-    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+    return {**search_queries.QUERIES, **delivery_queries.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return {**search_oracles.ORACLES, **delivery_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return delivery_queries.p2_delivered(spark, root)
+    return search_queries.lexical_top(spark, root)

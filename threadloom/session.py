@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -58,6 +58,16 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` that is not pushed below the columns computed so far.
+
+    Pushing a filter below a projection writes the projection's expressions into it a
+    second time. Where these are long chains over arrays, that costs more than the
+    rows it saves; a non-deterministic column in between keeps the optimiser off.
+    """
+    return df.withColumn("_held", F.monotonically_increasing_id() >= 0).where(F.when(F.col("_held"), condition)).drop("_held")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path through Hadoop's file system API; missing paths are fine."""
     jvm = spark._jvm
