@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions import cleaning, labels, matching, paths
 from threadloom.functions.text import blank_to_null
-from threadloom.operators import activity, corpus, lexical, messages, positions, protocol, ranking, semantic
+from threadloom.operators import activity, corpus, export, lexical, messages, positions, protocol, ranking, semantic
 from threadloom.plans.query import digest
 from threadloom.session import table
 
@@ -318,11 +318,16 @@ def conversation_refs(spark, root):
     return e.mapInArrow(_refs, "entry_id long, ref string")
 
 
+def exported_paragraphs(spark, root):
+    """Dialogue as markdown, one paragraph per message."""
+    return export.paragraphs(_first_lines(spark, root), "markdown")
+
+
 _NAMES = (
     "current_entries list_projects session_labels parse_failures project_names cached_files normalized_documents prefix_counts cleaned_documents "
     "semantic_turns atoms entry_labels lexical_single lexical_multi lexical_top lexical_fields lexical_scoped lexical_excluded exact_insensitive "
     "exact_sensitive mixed_literal identifier_literal browse message_words message_literal message_tools hits_per_conversation grouped_hits outlines "
     "tool_totals tool_runs tool_results tool_keys conversation_times previews message_positions best_chunks chunk_counts stale_chunks fused_hits "
-    "packed_chunks embedded_chunks conversation_refs"
+    "packed_chunks embedded_chunks conversation_refs exported_paragraphs"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
