@@ -272,4 +272,11 @@ ORACLES = {
           ELSE '/' || repeat('__', (length(r) - 1) // 2) || CASE WHEN (length(r) - 1) % 2 = 1 THEN '/' ELSE '' END END), '') AS path,
         array_to_string(list_transform(regexp_extract_all(project_dir, '-+|[^-]+'), lambda r: CASE WHEN r[1] <> '-' THEN r WHEN length(r) % 2 = 1 THEN '/' || repeat('_', length(r) - 1) ELSE repeat('_', length(r)) END), '') AS display,
         regexp_replace(path, '[^A-Za-z0-9-]', '-', 'g') AS again FROM projects""",
+    "model_labels": """SELECT entry_id, CASE WHEN length(model) > 20 AND NOT regexp_matches(model, '-[0-9]{8}$') THEN left(model, 19) || '…' ELSE model END AS model FROM cache_entries""",
+    "shown_lines": f"""WITH {_FIRST_LINES}, v AS (
+          SELECT conv_ref, ordinal, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), chr(10)) AS body
+          FROM lines WHERE coalesce({trim("parent_tool_use_id")}, '') = ''),
+        l AS (SELECT conv_ref, ordinal, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM v WHERE body <> ''),
+        k AS (SELECT *, lag(line) OVER (PARTITION BY conv_ref, ordinal ORDER BY i) AS before FROM l)
+        SELECT conv_ref, ordinal, row_number() OVER (PARTITION BY conv_ref, ordinal ORDER BY i)::INT AS line_no, line FROM k WHERE i = 1 OR trim(line) <> '' OR trim(before) <> ''""",
 }

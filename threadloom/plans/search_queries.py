@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions import cleaning, labels, matching, paths
 from threadloom.functions.text import blank_to_null
-from threadloom.operators import activity, corpus, export, lexical, messages, positions, protocol, ranking, semantic
+from threadloom.operators import activity, corpus, evidence, export, lexical, messages, positions, protocol, ranking, semantic, viewer
 from threadloom.plans.query import digest
 from threadloom.session import table
 
@@ -323,11 +323,30 @@ def exported_paragraphs(spark, root):
     return export.paragraphs(_first_lines(spark, root), "markdown")
 
 
+def evidence_spots(spark, root):
+    """Spots of each matching conversation that its preview does not show."""
+    found = lexical.search(_corpus(spark, root), "interoperability ranking", _now()).select("conv_ref", "path")
+    return evidence.evidence(_entries(spark, root).join(found.select("path"), "path", "left_semi"), "interoperability ranking")
+
+
+def tool_displays(spark, root):
+    return viewer.tool_calls(table(spark, root, "messages"))
+
+
+def shown_lines(spark, root):
+    """Lines of dialogue as a viewer numbers them."""
+    return viewer.body_lines(protocol.rendered(_first_lines(spark, root)))
+
+
+def model_labels(spark, root):
+    return table(spark, root, "cache_entries").select("entry_id", viewer.model_label(F.col("model")).alias("model"))
+
+
 _NAMES = (
     "current_entries list_projects session_labels parse_failures project_names cached_files normalized_documents prefix_counts cleaned_documents "
     "semantic_turns atoms entry_labels lexical_single lexical_multi lexical_top lexical_fields lexical_scoped lexical_excluded exact_insensitive "
     "exact_sensitive mixed_literal identifier_literal browse message_words message_literal message_tools hits_per_conversation grouped_hits outlines "
     "tool_totals tool_runs tool_results tool_keys conversation_times previews message_positions best_chunks chunk_counts stale_chunks fused_hits "
-    "packed_chunks embedded_chunks conversation_refs exported_paragraphs"
+    "packed_chunks embedded_chunks conversation_refs exported_paragraphs evidence_spots tool_displays shown_lines model_labels"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
