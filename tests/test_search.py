@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.plans.query import parse_ref
 from threadloom.operators import corpus, lexical, messages, positions, protocol, ranking, semantic
 
 NOW = F.lit("2024-03-01 00:00:00").cast("timestamp")
@@ -161,3 +162,17 @@ def test_groups_and_text(spark):
     assert lexical.shortlist_size(3) == 50 and lexical.candidate_limit(10, 2) == 80
     ranked = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4), ("c", 5)], "conv_ref string, rank int")
     assert sorted(r["rank"] for r in ranking.until_conversations(ranked, 2).collect()) == [1, 2, 3]
+
+
+def test_refs_labels_and_signatures(spark):
+    t = spark.createDataFrame([("ch_aaaaaaaa11", "s1", "p1"), ("ch_aaaaaaaa22", "s1", "p2"), ("ch_bbbbbbbb11", None, "p3"), ("ch_cccccccc11", "s2", "p4")], "conv_ref string, session_id string, path string")
+    assert corpus.resolve_ref(t, parse_ref("ch_bbbbbbbb")) == "ch_bbbbbbbb11"
+    for bad in ("ch_aaaaaaaa", "ch_dddddddd"):
+        with pytest.raises(LookupError):
+            corpus.resolve_ref(t, parse_ref(bad))
+    assert {r["path"]: r["label"] for r in corpus.session_labels(t).collect()} == {"p1": "p1", "p2": "p2", "p3": "p3", "p4": "s2"}
+    assert corpus.selected(t).where("conv_ref = 'ch_cccccccc11'").first()["json"] == '{"sessionId":"s2","sessionPath":"p4"}'
+    e = spark.createDataFrame([("c", "p", ["a"], [(1, 1)]), ("c", "p", ["b"], [(1, 1)]), ("c", "p", ["a"], [(1, 1)])], "conv_ref string, path string, semantic_turns array<string>, semantic_turn_ranges array<struct<start int, finish int>>")
+    assert corpus.signature(e).select("signature").distinct().count() == 2
+    c = spark.createDataFrame([("x <command-name>",), ("plain",), (None,)], "text string")
+    assert semantic.suspicious(c).count() == 1

@@ -8,6 +8,7 @@ from threadloom.functions.labels import title
 from threadloom.functions.matching import normalize
 from threadloom.functions.paths import project_root, short_name
 from threadloom.functions.text import blank_to_null
+from threadloom.plans.query import Ref
 
 
 def current_entries(entries: DataFrame) -> DataFrame:
@@ -73,9 +74,33 @@ def by_session(table: DataFrame, uuid: str) -> DataFrame:
 
 
 def session_labels(table: DataFrame) -> DataFrame:
-    """A session's label is its id, or its path where the id is unknown or not unique."""
-    known = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    return table.withColumn("label", F.when(F.col("session_id").isNull() | (known > 1), F.col("path")).otherwise(F.col("session_id")))
+    """A session's label is its id, or its path where the id is unknown or not unique.
+
+    Rows without an id take no part in the count, so they are no group of their own.
+    """
+    shared = table.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    marked = table.join(shared, "session_id", "left")
+    unclear = F.col("session_id").isNull() | F.col("_n").isNotNull()
+    return marked.withColumn("label", F.when(unclear, F.col("path")).otherwise(F.col("session_id"))).drop("_n")
+
+
+def resolve_ref(table: DataFrame, ref: Ref) -> str:
+    """The one conversation whose ref begins like ``ref``; none or several are an error."""
+    found = [r[0] for r in table.where(F.startswith("conv_ref", F.lit(f"ch_{ref.prefix}"))).select("conv_ref").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise LookupError(f"ch_{ref.prefix} is {'ambiguous' if found else 'unknown'}")
+    return found[0]
+
+
+def selected(table: DataFrame) -> DataFrame:
+    """``{"sessionId", "sessionPath"}`` of each row as JSON."""
+    return table.select("conv_ref", F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.col("path").alias("sessionPath"))).alias("json"))
+
+
+def signature(entries: DataFrame) -> DataFrame:
+    """A digest per conversation row of all that its chunks depend on."""
+    parts = F.to_json(F.struct("path", "semantic_turns", "semantic_turn_ranges"), {"ignoreNullFields": "false"})
+    return entries.select("conv_ref", "path", F.sha2(parts, 256).alias("signature"))
 
 
 def list_projects(entries: DataFrame) -> DataFrame:

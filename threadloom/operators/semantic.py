@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from threadloom.functions.cleaning import any_in
 from threadloom.functions.matching import all_of, fold_case, has_literal, normalize, normalize_text, word_matches
 from threadloom.plans.query import parse
 
@@ -209,3 +210,9 @@ def matched_terms(text: Column, query: str) -> Column:
     words = list(dict.fromkeys(normalize_text(query).split()))
     low = normalize(text)
     return F.filter(F.array(*[F.when(word_matches(low, w), F.lit(w)) for w in words]), lambda w: w.isNotNull()) if words else F.array().cast("array<string>")
+
+
+def suspicious(chunks: DataFrame) -> DataFrame:
+    """Chunks whose text still carries fences or structural tags, which cleaning should have removed."""
+    marks = ("\x60\x60\x60", "<system-reminder>", "<command-name>", "<local-command-stdout>")
+    return chunks.where(any_in(F.col("text"), marks))

@@ -9,7 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadloom.functions.labels import tool_summary
 from threadloom.functions.matching import fold_case
+from threadloom.functions.text import is_blank
+from threadloom.operators.fold import result_text
+from threadloom.operators.positions import positions
 
 
 def _diff(old: str, new: str) -> str:
@@ -101,3 +105,25 @@ def find_in_lines(lines: DataFrame, conv_ref: str, text: str) -> DataFrame:
         F.coalesce(F.lead(place).over(order), F.min(place).over(everything)).alias("next"),
         F.coalesce(F.lag(place).over(order), F.max(place).over(everything)).alias("previous"),
     )
+
+
+def entry_index(entries: DataFrame) -> DataFrame:
+    """Adds ``entry_index``: the place, from 0, of each parsed entry in its file.
+
+    Lines that do not parse and file snapshots have no place.
+    """
+    seen = entries.where(F.col("error").isNull() & (F.col("type") != "file-history-snapshot"))
+    return positions(seen, "path", "line_no", "_at").withColumn("entry_index", F.col("_at") - 1).drop("_at")
+
+
+def entry_text(entries: DataFrame, tools: bool = False, thinking: bool = False) -> DataFrame:
+    """The text of every entry's blocks, apart by blank lines: ``path, entry_index, text``."""
+
+    def shown(b: Column) -> Column:
+        text = F.when(b["type"] == "text", b["text"])
+        if tools:
+            text = text.when(b["type"] == "tool_use", tool_summary(b["name"], F.to_json(b["input"]))).when(b["type"] == "tool_result", result_text(b["content"]))
+        return text.when(b["type"] == "thinking", b["thinking"]) if thinking else text
+
+    texts = F.filter(F.transform("blocks", shown), lambda t: ~is_blank(t))
+    return entry_index(entries).where(F.size("blocks") > 0).select("path", "entry_index", F.array_join(texts, "\n\n").alias("text"))
