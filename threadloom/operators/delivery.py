@@ -69,17 +69,19 @@ def message_keys(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     its line where it has no id at all. Both are null for rows that identify
     nothing (``solo`` then holds the row itself).
     """
-    groups = _arrivals(rows, keys).persist()
-    with_id = groups.where(F.col("id").isNotNull() & F.col("solo").isNull() & F.col("line").isNotNull())
-    by_line = with_id.groupBy("conv", "line").agg(F.min("id").alias("rep"), F.max("id").alias("other"))
-    clash = by_line.where(F.col("rep") != F.col("other")).select("conv", "line", "rep")
-    links = with_id.join(clash, ["conv", "line"]).select("conv", F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = connected_components(links, "conv", "a", "b").select("conv", F.col("vertex").alias("named"), "root")
-    named = groups.join(by_line.select("conv", "line", "rep"), ["conv", "line"], "left").withColumn(
-        "named", F.when(F.col("solo").isNull(), F.coalesce("id", "rep"))
+    line = Window.partitionBy("conv", "line")
+    known = F.col("id").isNotNull() & F.col("solo").isNull() & F.col("line").isNotNull()
+    # Arrivals are distinct already, so a line's window holds its distinct ids only.
+    groups = (
+        _arrivals(rows, keys)
+        .withColumn("rep", F.when(F.col("solo").isNull() & F.col("line").isNotNull(), F.min("id").over(line)))
+        .withColumn("named", F.when(F.col("solo").isNull(), F.coalesce("id", "rep")))
+        .persist()
     )
+    links = groups.where(known & (F.col("id") != F.col("rep"))).select("conv", F.col("id").alias("a"), F.col("rep").alias("b"))
+    roots = connected_components(links, "conv", "a", "b").select("conv", F.col("vertex").alias("named"), "root")
     return (
-        named.join(roots, ["conv", "named"], "left")
+        groups.join(roots, ["conv", "named"], "left")
         .withColumn("k_id", F.coalesce("root", "named"))
         .withColumn("k_line", F.when(F.col("solo").isNull() & F.col("k_id").isNull(), F.col("line")))
         .select("conv", "line", "id", "solo", "best", "copies", "k_id", "k_line")
