@@ -184,18 +184,18 @@ def conversations(rows: DataFrame, keys: delivery.Keys = delivery.Keys()) -> Dat
     conversations; other columns of the input may have any name.
     """
     kept, hung, judged_ = judged(rows, keys)
-    sound = judged_.where((F.size("reasons") == 0) & ~F.col("cycle")).select("conv")
+    # The conversations that go are the smaller list; main messages need no thread.
+    gone = cut_lineage(judged_.where((F.size("reasons") > 0) | F.col("cycle")).select("conv"), "gone")
+    left = kept.join(gone, "conv", "left_anti").select("conv", "row", "first_line", "ordinal", "role", "parent")
+    below = left.where(F.col("parent").isNotNull()).join(hung.select("conv", F.col("thread").alias("parent"), "depth", "path"), ["conv", "parent"], "left")
+    main = left.where(F.col("parent").isNull()).select("*", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
     texts = rows.select(
         F.col(keys.row).alias("row"),
         F.array_join(
             F.transform(F.filter("parts", lambda p: (p["kind"] == "text") & ~is_blank(p["text"])), lambda p: p["text"]), "\n\n"
         ).alias("text"),
     )
-    placed = (
-        kept.join(sound, "conv", "left_semi")
-        .join(hung.select("conv", F.col("thread").alias("parent"), "depth", "path"), ["conv", "parent"], "left")
-        .join(texts, "row")
-    )
+    placed = main.unionByName(below).join(texts, "row")
     return placed.select(
         F.col("conv").alias("conv_ref"),
         F.col("parent").alias("thread"),
