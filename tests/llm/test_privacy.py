@@ -30,6 +30,7 @@ def kinds(text, roles=ROLES):
         ("name,email,national_id\nRavi Osei,r@x.example,QQ 12 34 56 A", [("Ravi Osei", "name"), ("r@x.example", "email"), ("QQ 12 34 56 A", "id_number")]),
         ("at Flat 3, 12 Elm Street, Port Amber QZ1 1XX.", [("Flat 3, 12 Elm Street, Port Amber QZ1 1XX", "address")]),
         ("9 Elm Hollow Rd.\nDellworth 12345 The log", [("9 Elm Hollow Rd.\nDellworth 12345", "address")]),
+        ("moved to 12 Elm Hollow Rd. Each; to 9 Elm Hollow Rd.. That; to 8 Elm Blvd. Then", [("12 Elm Hollow Rd.", "address"), ("9 Elm Hollow Rd.", "address"), ("8 Elm Blvd", "address")]),
         ("Apt 4B, 7 Oak Way, Dellworth Can you", [("Apt 4B, 7 Oak Way, Dellworth", "address")]),
         ("Lindenstr. 5, 12345 Port Amber Das", [("Lindenstr. 5, 12345 Port Amber", "address")]),
         ("8 bis, rue des Saules, 12345 Dellworth", [("8 bis, rue des Saules, 12345 Dellworth", "address")]),

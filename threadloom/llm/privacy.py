@@ -84,6 +84,7 @@ _CSV_ROW = re.compile(r"(?:national_id|ssn|passport)\s+[^\n,]{2,60},[^\n,]{3,60}
 
 #: Kinds of streets (fixed words).
 _STREET = r"(?:Court|Lane|Street|Terrace|Road|Rd|Way|Crescent|Avenue|Ave|Boulevard|Blvd|Drive|Square|Row|Close|Place|Hill|Gardens|Mews|Walk|Parkway|St|Dr|Ct|Ln|Pl|Sq)"
+_SHORT = re.compile(r" (?:Rd|St|Dr|Ct|Ln|Pl|Sq)\.$")
 _CITY_WORD = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _UNIT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|No\.) ?\d{1,4}[A-Za-z]?, )?"
 _STREET_LINE = re.compile(
@@ -153,7 +154,8 @@ def _addresses(text: str, places) -> Iterator[tuple[int, int]]:
                 b = tail.end(2)
             elif tail.re is _CODE_CITY or tail[1] in places or text[tail.end(1) : tail.end(1) + 1] in ("", "\n", '"', ".", ";", "|", ")"):
                 b = tail.end(1)
-        yield a, b if b > m.end() or text[b - 1] != "." else b - 1
+        # The dot of a short form belongs to the address, that of a sentence does not.
+        yield a, b if b > m.end() or text[b - 1] != "." or _SHORT.search(text, a, b) else b - 1
 
 
 def shaped(text: str, places) -> list[tuple[int, int, str]]:
