@@ -83,6 +83,17 @@ def test_codes_are_dense_and_bits_tell_what_is_seen(spark):
     assert {r["row"] for r in left.collect()} == {r["row"] for r in found.where("code % 2 = 0").collect()}
 
 
+def test_rows_are_selected_by_unset_bits(spark):
+    """The codes decide in p2_found itself; they were pruned from its plan."""
+    rows = frame(spark, [(1, "x", 1, "m", 1), (2, "x", 2, "m", 0), (3, "x", 2, "m", 1), (4, "x", 3, None, 0)])
+    plan = delivery.extra_copies(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" in plan and "MapInArrow" in plan
+    coded = delivery.coded_arrivals(rows, shards=2)
+    assert {r["row"] for r in delivery.first_of_bits(coded, "row").collect()} == {2, 4}
+    same = {(r["key"], r["shard"], r["code"]) for r in coded.collect()}
+    assert same == {(r["key"], r["shard"], r["code"]) for r in delivery.encode(delivery.messages(rows), 2).collect()}
+
+
 def test_store_delivers_each_message_once(spark, tmp_path):
     store = delivery.SeenStore(spark, f"file://{tmp_path}/seen", shards=8)
     first = [(1, "x", 1, "m", 0), (2, "x", 2, None, 0)]

@@ -9,19 +9,23 @@ The work is done on identifiers only:
 3. *Dictionary-encode.* Every message key gets an exact code: a shard by hash and
    a dense position inside the shard. Codes never collide, because the position is
    a rank over the keys themselves.
-4. *Select per unseen bit.* A shard's seen messages are bitmaps, one per 32,768
-   positions. Arrivals whose bit is set are copies; one arrival of each unset bit is
-   delivered.
-5. *Union.* New bits are or-ed into the shard's bitmaps and published as a new
-   version by one atomic rename (:class:`SeenStore`).
+4. *Select per unseen bit.* The arrivals of a shard come best first and set the bit of
+   their message's code. An arrival whose bit is set already is a copy; the one that
+   finds it unset is delivered (:func:`first_of_bits`).
+5. *Union.* Across runs a shard's seen messages are bitmaps, one per 32,768 positions.
+   New bits are or-ed into them and published as a new version by one atomic rename
+   (:class:`SeenStore`).
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions.text import blank_to_null
@@ -173,6 +177,55 @@ def unseen(codes: DataFrame, seen: DataFrame) -> DataFrame:
     return at.join(seen, ["shard", "bucket"], "left").where(F.coalesce(bit == 0, F.lit(True))).drop("bits", "bucket")
 
 
+def coded_arrivals(rows: DataFrame, keys: Keys = Keys(), shards: int = 256) -> DataFrame:
+    """The arrivals of :func:`message_keys` with the code of their message.
+
+    The codes are those of :func:`encode`. ``first_line`` and ``copies`` are the
+    message's, ``line, batch, row`` the arrival's.
+    """
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    keyed = message_keys(rows, keys).withColumn("key", _key()).withColumn("shard", shard).repartition("shard")
+    message = Window.partitionBy("shard", "key")
+    told = keyed.select(
+        "conv", "k_id", "k_line", "solo", "line", "best.late", "best.batch", "best.row", "key", "shard",
+        F.min("line").over(message).alias("first_line"), F.sum("copies").over(message).alias("copies"),
+    )
+    # The window over the shard comes last, so that every shard is left in one partition.
+    return told.withColumn("code", F.dense_rank().over(Window.partitionBy("shard").orderBy("key")).cast("long") - 1)
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that find the bit of their code unset; a shard's rows come in one run."""
+    shard, bits = None, np.zeros(0, np.uint8)
+    for batch in batches:
+        shards, codes = batch.column("shard").to_numpy(), batch.column("code").to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if shards[a] != shard:
+                shard, bits = shards[a], np.zeros(0, np.uint8)
+            own, first = np.unique(codes[a:b], return_index=True)
+            if (need := int(own[-1]) // 8 + 1) > bits.size:
+                bits = np.concatenate((bits, np.zeros(max(need, 2 * bits.size) - bits.size, np.uint8)))
+            at, bit = own >> 3, (1 << (own & 7)).astype(np.uint8)
+            keep[a + first[(bits[at] & bit) == 0]] = True
+            np.bitwise_or.at(bits, at, bit)
+        yield batch.filter(pa.array(keep))
+
+
+def first_of_bits(coded: DataFrame, *columns: str) -> DataFrame:
+    """Of every code the best arrival, as ``columns`` with ``shard`` and ``code``.
+
+    The highest line is best, then the lowest batch (null last), then the lowest row. A
+    task holds one shard's bits at a time.
+    """
+    order = ["shard", F.col("line").desc_nulls_last(), "late", "batch", "row"]
+    picked = coded.sortWithinPartitions(*order).select(*columns, "shard", "code")
+    return picked.mapInArrow(_fresh, picked.schema)
+
+
 def deliver(rows: DataFrame, keys: Keys = Keys(), seen: DataFrame | None = None, shards: int = 256) -> DataFrame:
     """One arrival of every message whose bit is unset.
 
@@ -186,13 +239,14 @@ def deliver(rows: DataFrame, keys: Keys = Keys(), seen: DataFrame | None = None,
     an empty table delivers nothing; rows repeated in full differ by their row
     column and so all but one go; other columns play no part and may have any name.
     """
-    codes = encode(messages(rows, keys), shards)
+    out = ("conv", "k_id", "k_line", "solo", "line", "batch", "row", "first_line", "copies", "key")
+    codes = first_of_bits(coded_arrivals(rows, keys, shards), *out)
     return codes if seen is None else unseen(codes, seen)
 
 
 def extra_copies(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     """The row ids that :func:`deliver` does not keep, as one column."""
-    kept = deliver(rows, keys).select(F.col("row").alias(keys.row))
+    kept = first_of_bits(coded_arrivals(rows, keys), "row").select(F.col("row").alias(keys.row))
     return rows.select(keys.row).join(kept, keys.row, "left_anti")
 
 
