@@ -164,6 +164,18 @@ def test_groups_and_text(spark):
     assert sorted(r["rank"] for r in ranking.until_conversations(ranked, 2).collect()) == [1, 2, 3]
 
 
+def test_a_hot_conversation_does_not_crowd_out_groups(spark, tmp_path):
+    """The candidate limit (80 for ten groups of two) was spent on one conversation."""
+    from threadloom.plans import search_queries
+
+    m = rows(spark, *["long parser"] * 100, conv="a hot")
+    for i in range(11):
+        m = m.unionByName(rows(spark, f"long parser and {'more ' * i}text", "long parser", conv=f"cold{i:02}"))
+    m.withColumn("batch_no", F.lit(0)).write.parquet(f"{tmp_path}/messages.parquet")
+    got = {(r["conv_ref"], r["total_hits"]) for r in search_queries.grouped_hits(spark, str(tmp_path)).collect()}
+    assert got == {("a hot", 80)} | {(f"cold{i:02}", 2) for i in range(9)}
+
+
 def test_refs_labels_and_signatures(spark):
     t = spark.createDataFrame([("ch_aaaaaaaa11", "s1", "p1"), ("ch_aaaaaaaa22", "s1", "p2"), ("ch_bbbbbbbb11", None, "p3"), ("ch_cccccccc11", "s2", "p4")], "conv_ref string, session_id string, path string")
     assert corpus.resolve_ref(t, parse_ref("ch_bbbbbbbb")) == "ch_bbbbbbbb11"

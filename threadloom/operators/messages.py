@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.labels import SEGMENT_CHARS, head_and_tail, tool_summary
 from threadloom.functions.matching import all_of, fold_case, has_literal, is_sensitive, normalize, quote, word_matches
@@ -182,7 +182,17 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFram
     )
 
 
+def _best_first(*before) -> list[Column]:
+    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    return [F.col("score").desc(), *map(F.col, before), F.col("ordinal"), rank, F.col("first_offset")]
+
+
 def best_hits(found: DataFrame, limit: int) -> DataFrame:
     """The hits in their total order, cut."""
-    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    return found.orderBy(F.col("score").desc(), "conv_ref", "ordinal", rank, "first_offset").limit(limit)
+    return found.orderBy(*_best_first("conv_ref")).limit(limit)
+
+
+def best_in_conversation(found: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` hits of each conversation, the best; no conversation is left out."""
+    order = Window.partitionBy("conv_ref").orderBy(*_best_first())
+    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")

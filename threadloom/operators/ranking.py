@@ -96,8 +96,9 @@ _GROUPED = (
 def group_hits(hits: DataFrame, per_conversation: int = 2, all_hits: bool = False) -> DataFrame:
     """Hits grouped by conversation with duplicates merged; one row per kept hit.
 
-    ``hits`` is a bounded result list (see ``lexical.candidate_limit``), so a group
-    never holds more than that limit.
+    ``hits`` holds a bounded number of hits of each conversation (see
+    ``messages.best_in_conversation``), so a group never holds more than that;
+    ``total_hits`` counts them.
     """
     flat = hits.select(
         "conv_ref", "ordinal", "score", "source", "preview", F.col("focus.start").alias("focus_start"), F.col("focus.end").alias("focus_end"),
@@ -116,6 +117,7 @@ def group_hits(hits: DataFrame, per_conversation: int = 2, all_hits: bool = Fals
 
 def best_groups(grouped: DataFrame, top: int) -> DataFrame:
     """The hits of the ``top`` groups by score, then by conversation."""
+    grouped = grouped.persist()  # a few rows a conversation, so that the fold in Python runs once
     leaders = grouped.where(F.col("hit") == 1).orderBy(F.col("group_score").desc(), "conv_ref").limit(top).select("conv_ref")
     return grouped.join(leaders, "conv_ref", "left_semi")
 

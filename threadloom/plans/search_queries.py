@@ -192,7 +192,8 @@ def hits_per_conversation(spark, root):
 
 
 def grouped_hits(spark, root):
-    found = messages.best_hits(messages.hits(_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
+    """The ten best conversations; the limit of candidates holds inside each conversation."""
+    found = messages.best_in_conversation(messages.hits(_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
     return ranking.best_groups(ranking.group_hits(found), 10)
 
 
