@@ -171,7 +171,7 @@ def test_a_hot_conversation_does_not_crowd_out_groups(spark, tmp_path):
     m = rows(spark, *["long parser"] * 100, conv="a hot")
     for i in range(11):
         m = m.unionByName(rows(spark, f"long parser and {'more ' * i}text", "long parser", conv=f"cold{i:02}"))
-    m.withColumn("batch_no", F.lit(0)).write.parquet(f"{tmp_path}/messages.parquet")
+    m.withColumn("batch_no", F.lit(0)).withColumn("assistant_message_id", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/messages.parquet")
     got = {(r["conv_ref"], r["total_hits"]) for r in search_queries.grouped_hits(spark, str(tmp_path)).collect()}
     assert got == {("a hot", 80)} | {(f"cold{i:02}", 2) for i in range(9)}
 

@@ -250,6 +250,34 @@ def extra_copies(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     return rows.select(keys.row).join(kept, keys.row, "left_anti")
 
 
+def with_ordinals(rows: DataFrame, keys: Keys = Keys(), ordinal: str = "ordinal") -> DataFrame:
+    """All rows, with an ordinal where it was null; ordinals that are given stay.
+
+    A row without one takes the least ordinal of its message's other rows. Messages that
+    have none at all follow the last ordinal of their conversation in the order of their
+    first lines (a null line last), so a conversation without ordinals is numbered from 1.
+    Rows without a conversation are left out where they have no ordinal.
+    """
+    missing = F.col(ordinal).isNull()
+    ident = blank_to_null(F.col(keys.ident).cast("string"))
+    narrow = rows.select(keys.conv, keys.line, keys.ident, keys.batch, keys.row, F.col(ordinal).alias("_at"))
+    part = narrow.join(narrow.where(F.col("_at").isNull()).select(keys.conv).distinct(), keys.conv, "left_semi")
+    keyed = message_keys(part, keys).withColumn("_key", _key()).select("conv", F.col("line").alias("_line"), F.col("id").alias("_id"), "solo", "_key")
+    line = F.col(keys.line).cast("long")
+    solo = F.when(line.isNull() & ident.isNull(), F.col(keys.row).cast("string"))
+    own = part.select(F.col(keys.conv).alias("_conv"), line.alias("_l"), ident.alias("_i"), solo.alias("_s"), F.col(keys.row).alias("_row"), "_at")
+    same = (F.col("_conv") == F.col("conv")) & F.col("_l").eqNullSafe(F.col("_line")) & F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("solo"))
+    told = own.join(keyed, same).select("_conv", "_key", "_row", "_l", "_at")
+    each = told.groupBy("_conv", "_key").agg(F.min("_at").alias("_given"), F.min("_l").alias("_first"))
+    top = told.groupBy("_conv").agg(F.coalesce(F.max("_at"), F.lit(0)).alias("_top"))
+    rank = F.row_number().over(Window.partitionBy("_conv", F.col("_given").isNull()).orderBy(F.col("_first").asc_nulls_last(), "_key"))
+    numbered = each.withColumn("_rank", rank).join(top, "_conv")
+    place = F.coalesce("_given", F.col("_top") + F.col("_rank")).cast(rows.schema[ordinal].dataType)
+    found = numbered.select("_conv", "_key", place.alias("_place")).join(told.where(F.col("_at").isNull()), ["_conv", "_key"])
+    filled = rows.where(missing).join(found.select("_row", "_place"), F.col(keys.row) == F.col("_row")).withColumn(ordinal, F.col("_place"))
+    return rows.where(~missing).unionByName(filled.select(*rows.columns))
+
+
 class SeenStore:
     """Dictionary and bitmaps of everything delivered so far, in versions.
 

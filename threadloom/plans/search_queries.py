@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions import cleaning, labels, matching, paths
 from threadloom.functions.text import blank_to_null
-from threadloom.operators import activity, corpus, evidence, export, lexical, messages, positions, protocol, ranking, semantic, viewer
+from threadloom.operators import activity, corpus, delivery, evidence, export, lexical, messages, positions, protocol, ranking, semantic, viewer
 from threadloom.plans.query import digest
 from threadloom.session import table
 
@@ -166,10 +166,15 @@ _HIT = ("conv_ref", "ordinal", "score", "source", "preview", "read_start", "read
 
 
 def _messages(spark, root):
-    """Delivered messages of conversations with ordinals."""
+    """Delivered messages with ordinals; those without are left out, as in the queries' SQL."""
     return table(spark, root, "messages").where(F.col("ordinal").isNotNull())
 
 
+def _all_messages(spark, root):
+    """All delivered messages; those without an ordinal get one from their first line."""
+    return delivery.with_ordinals(table(spark, root, "messages"))
+
+
 def _hit_rows(found: DataFrame) -> DataFrame:
     return found.select("conv_ref", "ordinal", F.round("score", 6).alias("score"), "source", "preview", F.col("read.start").alias("read_start"), F.col("read.end").alias("read_end"), *_HIT[7:])
 
@@ -193,7 +198,7 @@ def hits_per_conversation(spark, root):
 
 def grouped_hits(spark, root):
     """The ten best conversations; the limit of candidates holds inside each conversation."""
-    found = messages.best_in_conversation(messages.hits(_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
+    found = messages.best_in_conversation(messages.hits(_all_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
     return ranking.best_groups(ranking.group_hits(found), 10)
 
 
@@ -209,10 +214,10 @@ def tool_runs(spark, root):
     return activity.tool_runs(_first_lines(spark, root))
 
 
-def _first_lines(spark, root):
+def _first_lines(spark, root, of=_messages):
     """One row per conversation and ordinal: the last line delivered first."""
     best = Window.partitionBy("conv_ref", "ordinal").orderBy(F.col("jsonl_line").desc(), "batch_no", "row_id")
-    return _messages(spark, root).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
+    return of(spark, root).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
 
 
 def tool_results(spark, root):
@@ -321,7 +326,7 @@ def conversation_refs(spark, root):
 
 def exported_paragraphs(spark, root):
     """Dialogue as markdown, one paragraph per message."""
-    return export.paragraphs(_first_lines(spark, root), "markdown")
+    return export.paragraphs(_first_lines(spark, root, _all_messages), "markdown")
 
 
 def evidence_spots(spark, root):
