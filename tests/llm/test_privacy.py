@@ -86,3 +86,30 @@ def test_redacted_table_and_empty_table(spark):
     assert got[101]["mentions"] == 0 and got[101]["full_text"] is None
     empty = spark.createDataFrame([], SCHEMA)
     assert privacy.mentions(empty).count() == 0 and privacy.redacted(empty).count() == 0
+
+
+def _texts(spark, *texts):
+    return spark.createDataFrame([(i, t, p, None, "f", None, "t") for i, (t, p) in enumerate(texts)], SCHEMA)
+
+
+def test_copies_and_the_size_of_the_corpus_do_not_outvote_a_name(spark):
+    filler = "The queue reads each list and the merge was pinned before it. " * 5
+    once = f"{filler}then renzo fenarin left"
+    rows = [(f"{filler}Author: Renzo Fenarin <x@mail.example>", None)] + [(once, "then renzo fenarin left")] * 4  # copies and previews
+    rows += [(f"{filler}{i} lease ping mo ulmvik now", None) for i in range(5)]  # never capitalised, always at a cue
+    terms = {r["term"] for r in privacy.lexicon(_texts(spark, *rows).select("entry_id", *privacy.FIELDS)).collect()}
+    assert {"fenarin", "ulmvik"} <= terms and "queue" not in terms
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Author: Brax Tolwin <b@x.example>", ["Brax Tolwin"]),
+        ("I met Dr. Tolwin, then", ["Tolwin"]),
+        ("Reviewed-by: Zofia Tolwin", ["Zofia Tolwin"]),
+        ("at 12 Elm Dr. Then we left by Sunset Dr. Each day", []),
+        ("Author: see the log", []),
+    ],
+)
+def test_a_run_at_a_strong_cue_is_a_name_in_its_place(text, want):
+    assert [text[a:b] for a, b, kind in privacy.mentions_of(text, ROLES, PLACES) if kind == "name"] == want

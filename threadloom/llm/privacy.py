@@ -99,7 +99,7 @@ _CODE_CITY = re.compile(rf"(?:, |,?\s)\d{{5}} ({_CITY_WORD})(?: ({_CITY_WORD}))?
 _ONLY_CITY = re.compile(rf", ({_CITY_WORD})(?: ({_CITY_WORD}))?")
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: What a person's name follows (fixed words). Only for counting.
+#: What a person's name follows (fixed words). Only for counting; see ``_STRONG`` too.
 _AFTER = (
     "Author:", "authored-by:", "Signed-off-by:", "Reviewed-by:", "Reported-by:", "Acked-by:", "Assignee:", "Name:",
     "igned off by", "eviewed by", "ritten by", "eported by", "lease ping", "airing with", "I told", "I asked", "I met",
@@ -108,6 +108,8 @@ _AFTER = (
 )
 #: What follows a person's name (fixed words); mailboxes are an @ by then.
 _BEFORE = (" lives at", " said the", " <@>", " (@)", ", domicile", " | ")
+#: Of these, the ones that other nouns rarely stand before; the cues above all are firm.
+_FIRM = (" lives at", " <@>", " (@)")
 _NAME = r"(?:[^\W\d_]\. ?)?[^\W\d_]{2,}(?:-[^\W\d_]{2,})*"
 _RUN = re.compile(rf"\s*({_NAME}(?:,? {_NAME})?)")
 _RUN_BACK = re.compile(rf"(?:^|(?<=[^\w-]))({_NAME}(?:,? {_NAME})?)$")
@@ -183,8 +185,8 @@ def shaped(text: str, places) -> list[tuple[int, int, str]]:
 # -- what terms disclose -----------------------------------------------------------------
 
 
-def _cued(text: str) -> Iterator[str]:
-    """Runs of words next to a cue, where a person may be named."""
+def _cued(text: str) -> Iterator[tuple[str, bool]]:
+    """Runs of words next to a cue, where a person may be named, and if the cue is a firm one."""
     for cue in _AFTER:
         at = text.find(cue)
         while at >= 0:
@@ -192,7 +194,7 @@ def _cued(text: str) -> Iterator[str]:
             if cue != " / " or _NUMBER_BEFORE.search(text, max(0, at - 6), at):
                 run = _RUN.match(text, end)
                 if run:
-                    yield run[1]
+                    yield run[1], True
             at = text.find(cue, end)
     for cue in _BEFORE:
         at = text.find(cue)
@@ -200,15 +202,16 @@ def _cued(text: str) -> Iterator[str]:
             if cue != " | " or _PHONE.match(text, at + 3):
                 run = _RUN_BACK.search(text[max(0, at - 48) : at])
                 if run:
-                    yield run[1]
+                    yield run[1], cue in _FIRM
             at = text.find(cue, at + len(cue))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per term: occurrences, capitalised ones, at a cue, first and last of a run there."""
+    """Per term: occurrences, capitalised ones, at a cue, at a firm one, first and last of a run there."""
     total: Counter[str] = Counter()
     upper: Counter[str] = Counter()
     cued: Counter[str] = Counter()
+    firm: Counter[str] = Counter()
     first: Counter[str] = Counter()
     last: Counter[str] = Counter()
     places: Counter[str] = Counter()
@@ -221,11 +224,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "term": terms + list(places),
                 **{
                     name: pa.array([c[t] for t in terms] + [n if name == "total" else 0 for n in places.values()], pa.int64())
-                    for name, c in (("total", total), ("upper", upper), ("cued", cued), ("first", first), ("last", last))
+                    for name, c in (("total", total), ("upper", upper), ("cued", cued), ("firm", firm), ("first", first), ("last", last))
                 },
             }
         )
-        for c in (total, upper, cued, first, last, places):
+        for c in (total, upper, cued, firm, first, last, places):
             c.clear()
 
     for batch in batches:
@@ -243,9 +246,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         text = f"{text[:a]}@{text[b:]}"
                 total.update(_TOKEN.findall(text.lower()))
                 upper.update(map(str.lower, _CAPITAL.findall(text)))
-                for run in _cued(text):
+                for run, sure in _cued(text):
                     tokens = [w.lower() for w in _TOKEN.findall(run) if len(w) > 1]
                     cued.update(set(tokens))
+                    if sure:
+                        firm.update(set(tokens))
                     if len(tokens) > 1 and "," not in run:
                         first[tokens[0]] += 1
                         last.update(tokens[1:])
@@ -257,7 +262,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from give()
 
 
-_TALLY = "kind string, term string, total long, upper long, cued long, first long, last long"
+_TALLY = "kind string, term string, total long, upper long, cued long, firm long, first long, last long"
 
 
 def disclosure(cued: int, total: int, rate: float) -> float:
@@ -265,23 +270,33 @@ def disclosure(cued: int, total: int, rate: float) -> float:
     return math.log2(max(cued, 1e-9) / total / rate) if total and rate else 0.0
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """Each distinct text of the three columns, as ``entry_id`` (always 0) and ``text``."""
+    full = F.coalesce("full_text", F.lit(""))
+    fields = [F.col(f) if f == "full_text" else F.when(~F.contains(full, F.col(f)), F.col(f)) for f in FIELDS]
+    each = texts.select(F.explode(F.array(*fields)).alias("text")).where(F.col("text") != "")
+    return each.dropDuplicates(["text"]).select(F.lit(0).cast("long").alias("entry_id"), "text")
+
+
 def lexicon(texts: DataFrame, options: Options = Options()) -> DataFrame:
     """Terms that disclose persons, and places: ``kind, term, role, bits``.
 
     ``kind`` is ``given`` or ``family`` (by the place a term mostly has in names) or
-    ``place``. Counts are summed per partition before they are shuffled.
+    ``place``. Counts are summed per partition before they are shuffled. A text that
+    comes several times, or inside the full text of its own row, counts once.
     """
     counts = (
-        texts.mapInArrow(_tally, _TALLY)
+        _once(texts).mapInArrow(_tally, _TALLY)
         .groupBy("kind", "term")
-        .agg(*[F.sum(c).alias(c) for c in ("total", "upper", "cued", "first", "last")])
+        .agg(*[F.sum(c).alias(c) for c in ("total", "upper", "cued", "firm", "first", "last")])
         .persist()
     )
     sums = counts.where(F.col("kind") == "term").agg(F.sum("cued").alias("cued"), F.sum("total").alias("total")).first()
     rate = (sums["cued"] or 0) / (sums["total"] or 1)
     share = F.col("cued") / F.col("total")
     bits = F.log2(share / F.lit(max(rate, 1e-12)))
-    shown = (F.col("upper") * 2 >= F.col("total")) | (F.col("total") <= 3)
+    # Mostly capitalised, or mostly at a firm cue: shares only, the size of the corpus plays no part.
+    shown = F.greatest("upper", "firm") * 2 >= F.col("total")
     names = counts.where(
         (F.col("kind") == "term") & (F.col("cued") > 0) & (share >= options.least_rate) & (bits >= options.least_bits) & shown
         & ~F.col("term").isin(*sorted(_NO_NAMES))
@@ -332,10 +347,34 @@ def named(text: str, roles: dict[str, str], taken: list[tuple[int, int, str]]) -
     return [(a, b) for a, b, *_ in out]
 
 
+#: Words that only a person's name follows: labels of authors, and titles (fixed words).
+_LABEL = r"(?:Author|[Aa]uthored-by|Signed-off-by|Reviewed-by|Reported-by|Acked-by): ?"
+_TITLE = r"(?<![^\W\d_] )(?:Dr|Mr|Mrs|Ms|Prof)\. |(?<=[a-zß-öø-ÿ] )(?:Dr|Mr|Mrs|Ms|Prof)\. "
+_GIVEN = r"(?=[^\W\d_a-zß-öø-ÿ])[^\W\d_]{2,}(?:-[^\W\d_]{2,})*(?![\w@(/.:+]\w|[@_])"
+_STRONG = re.compile(rf"(?:(?P<label>\b{_LABEL})|{_TITLE})(?P<run>{_GIVEN}(?: (?:[^\W\d_]\. )?{_GIVEN})?)")
+
+
+def _at_strong_cues(text: str, names: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """``names`` with the capitalised runs at strong cues, whatever the corpus says of their terms.
+
+    A title's run is added where no name was found, an author's also takes up its parts.
+    """
+    for m in _STRONG.finditer(text):
+        a, b = m.span("run")
+        while b > a and (words := _TOKEN.findall(text[a:b])) and words[-1].lower() in _NO_NAMES:
+            b = a + len(text[a:b][: -len(words[-1])].rstrip(" .-"))
+        over = [(x, y) for x, y in names if x < b and a < y]
+        if b <= a or any(x < b and m.start() < y for x, y, _ in taken) or any(x < a or y > b for x, y in over) or (over and not m["label"]):
+            continue
+        names = [n for n in names if n not in over] + [(a, b)]
+    return names
+
+
 def mentions_of(text: str, roles: dict[str, str], places) -> list[tuple[int, int, str]]:
     """All mentions in a text: character offsets, the end exclusive, and the kind."""
     taken = shaped(text, places)
-    return sorted(taken + [(a, b, "name") for a, b in named(text, roles, taken)])
+    names = _at_strong_cues(text, named(text, roles, taken), taken)
+    return sorted(taken + [(a, b, "name") for a, b in names])
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
