@@ -75,3 +75,15 @@ def test_many_blocks_of_items_give_the_same(spark):
 def test_empty_tables(spark):
     assert not found(spark, [])
     assert not found(spark, [(1, ITEM)], [])
+
+
+def test_long_tags_and_links_inside_a_passage(spark):
+    part = " ".join(WORDS[2:14])
+    texts = [
+        part.replace("lazy", f'<a title="{"see note " * 40}" class=x>lazy</a>'),
+        part.replace("lazy", '<a\n  class="big red"\n  id=\'k\'\n>lazy</a\n>'),
+        part.replace("lazy", f"[lazy](https://x.example/{'path/' * 150})"),
+        part.replace("lazy", "[lazy](\nhttps://x.example/path\n)"),
+        f"if a <b then {part} " + "and so on " * 30 + "c> d",
+    ]
+    assert set(found(spark, list(enumerate(texts)))) == {(i, 1) for i in range(5)}

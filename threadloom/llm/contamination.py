@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_LINK = re.compile(r"\]\([^()\s]{1,500}\)")
+#: Tags; a long one, or one over lines, is a name and attributes with values, of any length.
+#: Else a comparison in prose or code would take all up to the next ">" with it.
+_TAG = re.compile(r"""</?[A-Za-z][^<>\n]{0,200}>|<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*\s*/?>|</[A-Za-z][\w:-]*\s*>""")
+_LINK = re.compile(r"\]\(\s*[^()\s]+\s*\)")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrtbf]")
 
 #: Stands between documents; it is kept as a letter and equals nothing in an item.
