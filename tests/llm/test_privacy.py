@@ -37,6 +37,15 @@ def kinds(text, roles=ROLES):
         ("Dr. Zofia K. Marlow-Osei, and Marlow, Ravi told noor", [("Zofia K. Marlow-Osei", "name"), ("Marlow, Ravi", "name"), ("noor", "name")]),
         ("see you, Ravi Marlow Zofia Osei said; R. Osei", [("Ravi Marlow", "name"), ("Zofia Osei", "name"), ("R. Osei", "name")]),
         ("Amber Orchard ships after Silent Falcon", []),
+        ("to 123 Main St, Springfield, IL 62704 by noon", [("123 Main St, Springfield, IL 62704", "address")]),
+        ("in Via Roma 5, Milano 20121 and Calle Mayor 3, 28013 Madrid.", [("Via Roma 5, Milano 20121", "address"), ("Calle Mayor 3, 28013 Madrid", "address")]),
+        ("near Keizersgracht 12, 1015 CJ Amsterdam; Storgatan 7, 111 22 Stockholm", [("Keizersgracht 12, 1015 CJ Amsterdam", "address"), ("Storgatan 7, 111 22 Stockholm", "address")]),
+        ("toll-free 1-800-555-1234, at (11) 91234-5678", [("1-800-555-1234", "phone"), ("(11) 91234-5678", "phone")]),
+        ("pay to DE89 3704 0044 0532 0130 00 today", []),
+        ("tax number 123.456.789-09 and RSSMRA85T10A562S", [("123.456.789-09", "id_number"), ("RSSMRA85T10A562S", "id_number")]),
+        ("Zofia Marlow (file 912-34-5678), build 912-34-5679", [("Zofia Marlow", "name"), ("912-34-5678", "id_number")]),
+        ("at " + "a" * 90 + "@mail.example now", [("a" * 90 + "@mail.example", "email")]),
+        ("ssn" + " " * 500 + "912-34-5678", [("912-34-5678", "id_number")]),
     ],
 )
 def test_mentions(text, want):
@@ -96,9 +105,8 @@ def test_copies_and_the_size_of_the_corpus_do_not_outvote_a_name(spark):
     filler = "The queue reads each list and the merge was pinned before it. " * 5
     once = f"{filler}then renzo fenarin left"
     rows = [(f"{filler}Author: Renzo Fenarin <x@mail.example>", None)] + [(once, "then renzo fenarin left")] * 4  # copies and previews
-    rows += [(f"{filler}{i} lease ping mo ulmvik now", None) for i in range(5)]  # never capitalised, always at a cue
     terms = {r["term"] for r in privacy.lexicon(_texts(spark, *rows).select("entry_id", *privacy.FIELDS)).collect()}
-    assert {"fenarin", "ulmvik"} <= terms and "queue" not in terms
+    assert {"renzo", "fenarin"} <= terms and "queue" not in terms
 
 
 @pytest.mark.parametrize(
@@ -113,3 +121,42 @@ def test_copies_and_the_size_of_the_corpus_do_not_outvote_a_name(spark):
 )
 def test_a_run_at_a_strong_cue_is_a_name_in_its_place(text, want):
     assert [text[a:b] for a, b, kind in privacy.mentions_of(text, ROLES, PLACES) if kind == "name"] == want
+
+
+def test_names_do_not_depend_on_how_many_other_texts_there_are(spark):
+    three = [(f"{g} {f} <{g.lower()}.{f.lower()}@mail.example> wrote this", None) for g, f in (("Ada", "Quist"), ("Ben", "Corda"), ("Cleo", "Marn"))]
+    other = [(f"The queue reads list {i} and the merge was pinned before it.", None) for i in range(40)]
+    few, many = ({r["term"] for r in privacy.lexicon(_texts(spark, *rows).select("entry_id", *privacy.FIELDS)).collect()} for rows in (three, three + other))
+    assert few == many == {"ada", "quist", "ben", "corda", "cleo", "marn"}
+
+
+def test_rows_without_an_id_are_read_with_either_way_of_the_lexicon(spark):
+    text = "Ada Quist <ada.quist@mail.example> wrote; later ada quist left"
+    entries = spark.createDataFrame([(None, text, None, None, "f", None, "t")] * 2, SCHEMA)
+    for terms in (0, 1000):
+        got = privacy.mentions(entries, privacy.Options(broadcast_terms=terms)).collect()
+        assert sorted((r["char_start"], r["pii_kind"]) for r in got) == sorted([(0, "name"), (11, "email"), (48, "name")] * 2)
+
+
+def test_cues_are_learnt_from_texts_of_any_form(spark):
+    """Templates, names and words that no list in the code knows."""
+    people = [("Oona", "Veltri"), ("Pax", "Grendel"), ("Quill", "Hasbro"), ("Rhea", "Imbert"), ("Sten", "Jurado"), ("Tove", "Kallas")]
+    filler = "The Harbor job moved. A Ledger was kept; Monday came. " * 4
+    rows = []
+    for i, (g, f) in enumerate(people):
+        rows.append((f"{filler}contact for tickets: {g.lower()}.{f.lower()}@desk.example\n{filler}", None))
+        rows.append((f"{filler}yesterday the caller named {g} {f} asked for row {i}.\n{filler}", None))
+        rows.append((f"{filler}escalated through {f} at noon\n{filler}", None))
+    rows.append((f"{filler}yesterday the caller named Ulla Lindgard asked for row 9.\n{filler}", None))
+    rows.append((f"{filler}so lindgard was told\n{filler}", None))
+    rows.append((f"{filler}then Lindgard left\n{filler}", None))
+    got = privacy.mentions(_texts(spark, *rows)).where("pii_kind = 'name'").toPandas()
+    found = [rows[r.entry_id][0][r.char_start : r.char_end] for r in got.itertuples()]
+    want = [n for g, f in people for n in (f"{g} {f}", f)] + ["Ulla Lindgard", "lindgard", "Lindgard"]
+    assert sorted(found) == sorted(want)
+
+
+def test_places_are_generalised_where_they_stand_alone(spark):
+    rows = [(f"{i} Elm Street, Dellworth 12345, is it", None) for i in range(1, 9)] + [("we met in Dellworth then", None)]
+    got = {r["entry_id"]: r["full_text"] for r in privacy.redacted(_texts(spark, *rows)).collect()}
+    assert got[0] == "[ADDRESS], is it" and got[8] == "we met in [PLACE] then"
