@@ -27,7 +27,7 @@ def brute(x, k):
 
 def test_recall_over_many_regions(spark):
     x = topics(3000, 12)
-    found = neighbours.neighbours(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), Options(region=200, candidates=150)).toPandas()
+    found = neighbours.neighbours(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), Options(region=200)).toPandas()
     assert (found.groupby("id").size() == 5).all() and found.id.nunique() == 3000
     truth = brute(x, 5)
     got = found.groupby("id").other.apply(set)
@@ -70,9 +70,31 @@ def test_too_few(spark, n):
 def test_traversal_visits_cells_by_rising_distance():
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=(9, 4)).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32)
-    counts = np.ones((9, 9), np.int64)
-    orders = (neighbours._orders(a), neighbours._orders(b))
-    met = neighbours.traverse(2, 7, orders, counts, 10**6)
+    index = neighbours.Index(neighbours.Codebooks(a, b), counts=np.ones(81, np.int64))
+    point = rng.normal(size=8).astype(np.float32)
+    met = index.traverse(point, Options(candidates=10**6))
     assert sorted(met) == list(range(81))
-    d = [float(((a[2] - a[c // 9]) ** 2).sum() + ((b[7] - b[c % 9]) ** 2).sum()) for c in met]
+    d = [float(((point[:4] - a[c // 9]) ** 2).sum() + ((point[4:] - b[c % 9]) ** 2).sum()) for c in met]
     assert np.allclose(d, sorted(d), atol=1e-4)
+
+
+def test_full_cells_are_divided_again(spark):
+    """A crowd that one cell takes in; the traversal goes on inside it and around it."""
+    rng = np.random.default_rng(1)
+    crowd = 1.0 + np.repeat(0.1 * rng.normal(size=(200, 64)), 12, axis=0) + 0.015 * rng.normal(size=(2400, 64))
+    x = np.concatenate([crowd, topics(600, 12, seed=2)])
+    options = Options(full=60, per_small_cell=20, region=300, per_cell=100)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    index = neighbours.build_index(neighbours.unit_vectors(rows), options)
+    assert index.inner and index.counts.sum() == len(x) and np.bincount(index.region_of[index.region_of >= 0]).size > 5
+    found = neighbours.neighbours(rows, options).toPandas()
+    truth, got = brute(x, 5), found.groupby("id").other.apply(set)
+    assert (found.groupby("id").size() == 5).all()
+    assert np.mean([len(set(truth[i]) & got[i]) / 5 for i in range(len(x))]) >= 0.9
+
+
+def test_ties_at_the_edge_go_to_the_lower_ids():
+    y = np.zeros((100, 2), np.float32)
+    y[:, 0] = 1
+    ids, values = neighbours.best_of(y[:1], y, np.array([0]), np.arange(100)[::-1].copy(), 3)
+    assert ids.tolist() == [[1, 2, 3]] and (values == 1).all()
