@@ -55,7 +55,7 @@ def test_counts_shared_passages_and_short_items(spark):
     assert got == {(1, 1): (8, 8), (1, 2): (2, 4), (2, 1): (1, 8), (2, 2): (1, 4)}
 
 
-def test_many_blocks_of_items_give_the_same(spark):
+def test_many_passes_give_the_same(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(words, 30)), 0) for i in range(20)]
@@ -68,7 +68,7 @@ def test_many_blocks_of_items_give_the_same(spark):
             n = sum(tuple(squash(s)[k : k + 12]) in grams for k in range(len(squash(s)) - 11))
             if n:
                 want[d, i] = n
-    one, many = found(spark, docs, items), found(spark, docs, items, block_chars=200)
+    one, many = found(spark, docs, items), found(spark, docs, items, sketches=30)
     assert one == many and {k: v[0] for k, v in one.items()} == want
 
 
@@ -85,5 +85,19 @@ def test_long_tags_and_links_inside_a_passage(spark):
         part.replace("lazy", f"[lazy](https://x.example/{'path/' * 150})"),
         part.replace("lazy", "[lazy](\nhttps://x.example/path\n)"),
         f"if a <b then {part} " + "and so on " * 30 + "c> d",
+        part.replace("lazy", f'<a hidden title="{"a > b, see note " * 700}" data-x>lazy</a>'),
+        part.replace("lazy", f"[lazy](https://x.example/{'path/' * 2500} 'a title')"),
+        part.replace("lazy", f"<!-- {'remark ' * 2000} -->lazy"),
     ]
-    assert set(found(spark, list(enumerate(texts)))) == {(i, 1) for i in range(5)}
+    assert set(found(spark, list(enumerate(texts)))) == {(i, 1) for i in range(8)}
+
+
+def test_passages_of_every_size_class(spark):
+    short = "a b c d e f g h i j k l m n"
+    mid = " ".join(f"w{i:02d}" for i in range(14))
+    long = " ".join(f"w{i:014d}x" for i in range(14))
+    items = [(1, short, 0), (2, mid, 0), (3, long, 0), (4, ITEM, 0)]
+    table = contamination.passages(spark.createDataFrame(items, ITEMS)).select("part").distinct().collect()
+    assert {r["part"] for r in table} == {1, 2, 4}
+    docs = [(i, f"so, {t[:-2]}." ) for i, t, _ in items] + [(9, "none of it")]
+    assert {(d, i) for d, i in found(spark, docs, items)} == {(i, i) for i in (1, 2, 3, 4)}

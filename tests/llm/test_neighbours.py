@@ -83,7 +83,7 @@ def test_full_cells_are_divided_again(spark):
     rng = np.random.default_rng(1)
     crowd = 1.0 + np.repeat(0.1 * rng.normal(size=(200, 64)), 12, axis=0) + 0.015 * rng.normal(size=(2400, 64))
     x = np.concatenate([crowd, topics(600, 12, seed=2)])
-    options = Options(full=60, per_small_cell=20, region=300, per_cell=100)
+    options = Options(full=60, per_small_cell=20, region=300, per_cell=100, candidates=200)
     rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     index = neighbours.build_index(neighbours.unit_vectors(rows), options)
     assert index.inner and index.counts.sum() == len(x) and np.bincount(index.region_of[index.region_of >= 0]).size > 5

@@ -3,11 +3,15 @@
 A passage is ``words`` consecutive words of a test item. Both sides are reduced to
 their letters and digits, so case, punctuation, markup, invisible characters and
 line breaks, also inside a word, make no difference. The search is a MinHash
-containment search: every passage (a short set of character shingles) is sketched
-by the least hash of its shingles, items are partitioned by size, and a document
-(a long set) is a candidate at each place where it has a partition's minimum. A
-document that contains a passage has all its shingles, hence its minimum, so no
-passage is missed; candidates are verified by comparing the passage itself.
+containment search, partitioned by size: a passage is the set of its shingles, and the
+longer a passage is, the longer are the shingles of its partition, so the fewer places
+of a document it has to be compared with. A passage is sketched by the least hash of its
+shingles. A document that holds the passage has all its shingles, hence that hash, so
+none is missed; every place that has it is verified, first by a digest of the passage
+and then letter by letter.
+
+Test items are cut into passages by the cluster. Only sketches (28 bytes a passage) are
+sent to executors; what was found is joined to the passages.
 """
 
 from __future__ import annotations
@@ -20,35 +24,47 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: Tags; a long one, or one over lines, is a name and attributes with values, of any length.
-#: Else a comparison in prose or code would take all up to the next ">" with it.
-_TAG = re.compile(r"""</?[A-Za-z][^<>\n]{0,200}>|<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*\s*/?>|</[A-Za-z][\w:-]*\s*>""")
-_LINK = re.compile(r"\]\(\s*[^()\s]+\s*\)")
+from threadloom.session import cut_lineage
+
+#: Tags with attributes of any length, over lines too, and comments. Possessive, so every
+#: character is looked at once for each "<" before it that opens a name.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++)"""
+_TAG = re.compile(rf"<!--.*?-->|</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+{_VALUE})?+)*+\s*+/?>|</?[A-Za-z][^<>\n]{{0,200}}>", re.S)
+#: A tag without any value may be a comparison in prose or code; up to here it is a tag.
+LOOSE_TAG = 200
+_LINK = re.compile(r"""\]\(\s*(?:<[^<>\n]*>|(?:[^()\s]|\([^()\s]*\))+)(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)""")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrtbf]")
 
 #: Stands between documents; it is kept as a letter and equals nothing in an item.
 WALL = 0x10FFFF
 #: Texts are searched in blocks of about this many characters, whole texts only.
 BLOCK = 1_500_000
-#: Upper bounds on the number of passages of an item, one partition each.
-SIZES = (8, 32, 128, 1 << 62)
+#: Partitions of passages by letters: from that many on, and the length of their shingles.
+SIZES = ((1, 1), (8, 8), (32, 16), (56, 32), (112, 64))
 
 
 @dataclass(frozen=True)
 class Options:
-    """``words``: length of a passage. ``block_chars``: characters of test items that
-    are searched for at once; larger sets take more passes over the corpus."""
+    """``words``: length of a passage. ``sketches``: passages that are searched for at
+    once; 28 bytes each are sent to the executors, so the default sends 560 MB at most.
+    Larger sets are taken by ranges of the hash, with one more pass over the corpus each."""
 
     words: int = 12
-    block_chars: int = 4_000_000
+    sketches: int = 20_000_000
+
+
+def _markup(m: re.Match) -> str:
+    tag = m[0]
+    return "\x01" if len(tag) <= LOOSE_TAG or "=" in tag or tag.startswith("<!--") or " " not in tag else tag
 
 
 def clean(text: str) -> str:
     """``text`` in one spelling: markup marked as such, compatibility forms folded."""
     if "<" in text:
-        text = _TAG.sub("\x01", text)
+        text = _TAG.sub(_markup, text)
     if "](" in text:
         text = _LINK.sub("]", text)
     if "&" in text:
@@ -130,121 +146,129 @@ def shingle_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def digest(codes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(codes.tobytes())
+
+
+def _size_class(n: int) -> int:
+    return max(i for i, (least, _) in enumerate(SIZES) if n >= least)
+
+
+_PASSAGE = "part int, hash long, offset int, length int, digest binary, letters string, item_id long, place int, total int"
+
+
+def _cut(words: int):
+    """Every passage of every item with its sketch; shorter items have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+        names = [c.split()[0] for c in _PASSAGE.split(", ")]
+        for batch in batches:
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                codes, begins, _ends = squash(clean(text.as_py()))
+                at = np.append(np.flatnonzero(begins), len(codes))
+                total = len(at) - words
+                if total <= 0:
+                    continue
+                hashes = {k: shingle_hashes(codes, k) for _, k in SIZES}
+                for place in range(total):
+                    a, b = int(at[place]), int(at[place + words])
+                    part = _size_class(b - a)
+                    k = SIZES[part][1]
+                    offset = int(hashes[k][a : b - k + 1].argmin())
+                    letters = codes[a:b]
+                    rows.append((part, int(hashes[k][a + offset].view(np.int64)), offset, b - a, digest(letters), letters.tobytes().decode("utf-32-le", "replace"), item, place, total))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return run
+
+
+def passages(items: DataFrame, options: Options = Options()) -> DataFrame:
+    """All passages of ``item_id, text``: sketch, digest and letters, item and place in it."""
+    usable = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    return usable.mapInArrow(_cut(options.words), _PASSAGE)
+
+
 @dataclass
 class Partition:
-    """The passages of the items of one size class, by their least shingle hash."""
+    """The sketches of the passages of one size class, by rising hash."""
 
     k: int
-    hashes: np.ndarray  # sorted, unique
-    filter: np.ndarray  # by the top 20 bits
-    entries: list[list[tuple[int, int]]]  # per hash: passage, offset of the shingle
+    hashes: np.ndarray
+    offsets: np.ndarray
+    lengths: np.ndarray
+    digests: np.ndarray  # rows of 16 bytes
+    filter: np.ndarray  # bits by the top of the hash
+    shift: np.uint64
+
+
+def _partitions(sketches: pa.Table) -> list[Partition]:
+    out = []
+    parts = sketches.column("part").to_numpy()
+    hashes = sketches.column("hash").to_numpy().view(np.uint64)
+    digests = np.frombuffer(b"".join(sketches.column("digest").to_pylist()), "V16")
+    for part, (_, k) in enumerate(SIZES):
+        rows = np.flatnonzero(parts == part)
+        if not len(rows):
+            continue
+        rows = rows[np.argsort(hashes[rows], kind="stable")]
+        width = max(16, int(len(rows) * 16).bit_length())
+        shift = np.uint64(64 - width)
+        bits = np.zeros(1 << width, bool)
+        bits[(hashes[rows] >> shift).astype(np.int64)] = True
+        offsets, lengths = (sketches.column(c).to_numpy()[rows] for c in ("offset", "length"))
+        out.append(Partition(k, hashes[rows], offsets, lengths, digests[rows], bits, shift))
+    return out
 
 
-@dataclass
-class Index:
-    passages: list[bytes]
-    lengths: list[int]
-    holders: list[list[tuple[int, int]]]  # per passage: item, place in the item
-    totals: dict[int, int]  # passages of each item
-    partitions: list[Partition]
-
-
-def build_index(items: list[tuple[int, str | None]], options: Options = Options()) -> Index:
-    """Passages of all items; items shorter than a passage have none."""
-    ids: dict[bytes, int] = {}
-    holders: list[list[tuple[int, int]]] = []
-    totals: dict[int, int] = {}
-    by_size: list[set[int]] = [set() for _ in SIZES]
-    for item, text in items:
-        if not text:
-            continue
-        codes, begins, _ends = squash(clean(text))
-        at = np.append(np.flatnonzero(begins), len(codes))
-        n = len(at) - options.words
-        if n <= 0:
-            continue
-        totals[item] = n
-        size = next(i for i, top in enumerate(SIZES) if n <= top)
-        for j in range(n):
-            key = codes[at[j] : at[j + options.words]].tobytes()
-            if key not in ids:
-                ids[key] = len(ids)
-                holders.append([])
-            holders[ids[key]].append((item, j))
-            by_size[size].add(ids[key])
-    passages = list(ids)
-    partitions = []
-    for members in by_size:
-        short = sorted(p for p in members if len(passages[p]) < 4 * 28)
-        long = sorted(p for p in members if len(passages[p]) >= 4 * 28)
-        for k, group in ((min(8, options.words), short), (20, long)):
-            found: dict[int, list[tuple[int, int]]] = {}
-            for p in group:
-                h = shingle_hashes(np.frombuffer(passages[p], np.uint32), k)
-                least = int(h.argmin())
-                found.setdefault(int(h[least]), []).append((p, least))
-            if found:
-                hashes = np.array(sorted(found), np.uint64)
-                bits = np.zeros(1 << 20, bool)
-                bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-                partitions.append(Partition(k, hashes, bits, [found[int(h)] for h in hashes]))
-    return Index(passages, [len(p) // 4 for p in passages], holders, totals, partitions)
-
-
-def _search(index: Index, texts: list[tuple[int, str]]) -> dict[tuple[int, int], set[int]]:
-    """``(document, item) -> places of the item's passages`` for one block of texts."""
+def _search(partitions: list[Partition], texts: list[tuple[int, str]]) -> set[tuple[int, bytes, str]]:
+    """``(document, digest, letters)`` of every passage found in one block of texts."""
     codes, begins, ends = squash(chr(WALL).join(clean(t) for _, t in texts))
     walls = np.flatnonzero(codes == WALL)
-    hashes = {k: shingle_hashes(codes, k) for k in {p.k for p in index.partitions}}
-    found: dict[tuple[int, int], set[int]] = {}
-    for part in index.partitions:
-        h = hashes[part.k]
-        at = np.flatnonzero(part.filter[(h >> np.uint64(44)).astype(np.int32)])
-        slot = np.searchsorted(part.hashes, h[at])
-        good = part.hashes[np.minimum(slot, len(part.hashes) - 1)] == h[at]
-        for p, s in zip(at[good].tolist(), slot[good].tolist()):
-            for passage, offset in part.entries[s]:
-                a = p - offset
-                b = a + index.lengths[passage]
+    found: set[tuple[int, bytes, str]] = set()
+    for part in partitions:
+        h = shingle_hashes(codes, part.k)
+        at = np.flatnonzero(part.filter[(h >> part.shift).astype(np.int64)])
+        first = np.searchsorted(part.hashes, h[at], "left")
+        last = np.searchsorted(part.hashes, h[at], "right")
+        for p, lo, hi in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist()):
+            for s in range(lo, hi):
+                a = p - int(part.offsets[s])
+                b = a + int(part.lengths[s])
                 if a < 0 or b > len(codes) or not begins[a] or not ends[b - 1]:
                     continue
-                if codes[a:b].tobytes() == index.passages[passage]:
-                    doc = texts[int(np.searchsorted(walls, a))][0]
-                    for item, place in index.holders[passage]:
-                        found.setdefault((doc, item), set()).add(place)
+                if digest(codes[a:b]) == part.digests[s].tobytes():
+                    found.add((texts[int(np.searchsorted(walls, a))][0], part.digests[s].tobytes(), codes[a:b].tobytes().decode("utf-32-le", "replace")))
     return found
 
 
-_SCHEMA = "doc_id long, item_id long, passages_found int, passages_of_item int"
+_SCHEMA = "doc_id long, digest binary, letters string"
 
 
 def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            block, size = [], 0
-            rows: list[tuple[int, int, int, int]] = []
-
-            def flush():
-                for (doc, item), places in _search(index, block).items():
-                    rows.append((doc, item, len(places), index.totals[item]))
-
-            for doc, text in zip(ids, texts):
+            block: list[tuple[int, str]] = []
+            size, rows = 0, set()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 if doc is None or not text:
                     continue
                 block.append((doc, text))
                 size += len(text)
                 if size >= BLOCK:
-                    flush()
+                    rows |= _search(shared.value, block)
                     block, size = [], 0
             if block:
-                flush()
-            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+                rows |= _search(shared.value, block)
+            columns = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
-                names=["doc_id", "item_id", "passages_found", "passages_of_item"],
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.string())], names=["doc_id", "digest", "letters"]
             )
 
     return run
@@ -257,21 +281,26 @@ def leaks(documents: DataFrame, items: DataFrame, options: Options = Options())
     passages (distinct places) stand in the document.
 
     Defined results: null and blank texts, and items of fewer than ``words`` words,
-    give nothing; passages shared by items count for each; repeated documents count
-    each for itself; documents are searched whole, of any length; no items or no
-    documents give no rows; other columns may have any name.
+    give nothing; passages shared by items count for each; documents with one id count
+    as one; documents are searched whole, of any length; no items or no documents give
+    no rows; other columns may have any name.
 
-    The corpus is read once per ``block_chars`` characters of test items and never
-    shuffled. Only the test items of one such block are sent to the executors.
+    The corpus is read once and never shuffled; only the passages found are. More than
+    ``sketches`` different passages take another pass for each such number.
     """
     spark = documents.sparkSession
-    chosen = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // options.block_chars))
-    out = None
-    for b in range(blocks):
-        mine = chosen.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else chosen
-        index = build_index([(r["item_id"], r["text"]) for r in mine.collect()], options)
-        found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(spark.sparkContext.broadcast(index)), _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+    table = cut_lineage(passages(items, options), "passages")
+    sketches = table.select("part", "hash", "offset", "length", "digest").distinct()
+    passes = max(1, -(-sketches.count() // options.sketches))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for n in range(passes):
+        mine = sketches.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == n) if passes > 1 else sketches
+        shared = spark.sparkContext.broadcast(_partitions(mine.toArrow()))
+        part = texts.mapInArrow(_finder(shared), _SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    return (
+        found.join(table.select("digest", "letters", "item_id", "place", "total"), ["digest", "letters"])
+        .groupBy("doc_id", "item_id")
+        .agg(F.count_distinct("place").cast("int").alias("passages_found"), F.first("total").alias("passages_of_item"))
+    )
