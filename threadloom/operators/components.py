@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, forget
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame, scope: str, a: str, b: str, max_round
             .where(F.col("u") > F.col("v"))
             .distinct()
         )
-        cur = cut_lineage(small, "components")
+        before, cur = cur, cut_lineage(small, "components")
+        forget(before)
         now = _fingerprint(cur)
         if now == seen:
             break

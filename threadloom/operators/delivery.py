@@ -13,8 +13,8 @@ The work is done on identifiers only:
    their message's code. An arrival whose bit is set already is a copy; the one that
    finds it unset is delivered (:func:`first_of_bits`).
 5. *Union.* Across runs a shard's seen messages are bitmaps, one per 32,768 positions.
-   New bits are or-ed into them and published as a new version by one atomic rename
-   (:class:`SeenStore`).
+   New bits are added as a part and published as the next version by one rename, which
+   fails where another writer was first (:class:`SeenStore`).
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions.text import blank_to_null
 from threadloom.operators.components import connected_components
-from threadloom.session import drop_path
+from threadloom.session import cut_lineage, drop_path, forget
 
 #: Bits of one bitmap, fixed by Spark's bitmap functions.
 BITS = 32768
@@ -73,23 +74,23 @@ def message_keys(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     its line where it has no id at all. Both are null for rows that identify
     nothing (``solo`` then holds the row itself).
     """
-    line = Window.partitionBy("conv", "line")
-    known = F.col("id").isNotNull() & F.col("solo").isNull() & F.col("line").isNotNull()
-    # Arrivals are distinct already, so a line's window holds its distinct ids only.
-    groups = (
-        _arrivals(rows, keys)
-        .withColumn("rep", F.when(F.col("solo").isNull() & F.col("line").isNotNull(), F.min("id").over(line)))
-        .withColumn("named", F.when(F.col("solo").isNull(), F.coalesce("id", "rep")))
-        .persist()
-    )
+    arrivals = _arrivals(rows, keys)
+    known = F.col("id").isNotNull() & F.col("line").isNotNull()
+    nothing = F.lit(None).cast("string")
+    # Only lines meet in a window and only names in a join: rows without them, which may be
+    # a large part of all, would share one key. Arrivals are distinct, so a line's window
+    # holds its distinct ids.
+    lined = arrivals.where(F.col("solo").isNull() & F.col("line").isNotNull()).withColumn("rep", F.min("id").over(Window.partitionBy("conv", "line")))
+    loose = arrivals.where(F.col("solo").isNotNull() | F.col("line").isNull()).withColumn("rep", nothing)
+    groups = lined.unionByName(loose).withColumn("named", F.when(F.col("solo").isNull(), F.coalesce("id", "rep")))
+    groups = cut_lineage(groups, "arrivals")
     links = groups.where(known & (F.col("id") != F.col("rep"))).select("conv", F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = connected_components(links, "conv", "a", "b").select("conv", F.col("vertex").alias("named"), "root")
-    return (
-        groups.join(roots, ["conv", "named"], "left")
-        .withColumn("k_id", F.coalesce("root", "named"))
-        .withColumn("k_line", F.when(F.col("solo").isNull() & F.col("k_id").isNull(), F.col("line")))
-        .select("conv", "line", "id", "solo", "best", "copies", "k_id", "k_line")
-    )
+    shown = ("conv", "line", "id", "solo", "best", "copies", "k_id", "k_line")
+    named = groups.where(F.col("named").isNotNull()).join(roots, ["conv", "named"], "left").withColumn("k_id", F.coalesce("root", "named"))
+    named = named.withColumn("k_line", F.lit(None).cast("long")).select(*shown)
+    nameless = groups.where(F.col("named").isNull()).withColumn("k_id", nothing).withColumn("k_line", F.when(F.col("solo").isNull(), F.col("line")))
+    return named.unionByName(nameless.select(*shown))
 
 
 def messages(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
@@ -98,9 +99,14 @@ def messages(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     The best arrival has the highest line, then the lowest batch, then the lowest
     row. Columns ``conv, k_id, k_line, solo, line, batch, row, first_line, copies``.
     """
+    return best_arrivals(message_keys(rows, keys))
+
+
+def best_arrivals(keyed: DataFrame) -> DataFrame:
+    """The messages of a table made by :func:`message_keys`."""
     order = F.struct(F.col("line").isNull(), -F.col("line"), F.col("best.late"), F.col("best.batch"), F.col("best.row"))
     return (
-        message_keys(rows, keys)
+        keyed
         .groupBy("conv", "k_id", "k_line", "solo")
         .agg(
             F.min_by(F.struct("line", "best.batch", "best.row"), order).alias("pick"),
@@ -278,14 +284,19 @@ def with_ordinals(rows: DataFrame, keys: Keys = Keys(), ordinal: str = "ordinal"
     return rows.where(~missing).unionByName(filled.select(*rows.columns))
 
 
-class SeenStore:
-    """Dictionary and bitmaps of everything delivered so far, in versions.
+class Conflict(RuntimeError):
+    """Another writer published a version of the store first."""
 
-    ``take`` returns the messages of a new set of rows that no earlier call
-    returned and publishes their bits. A version is a folder of Parquet files; the
-    name of the current one stands in ``CURRENT``, which is replaced by a rename, so
-    a run that dies half-way leaves the old version in force and can be repeated.
-    Across calls the first arrival of a message wins.
+
+class SeenStore:
+    """Dictionary and bitmaps of everything delivered so far, in numbered versions.
+
+    ``take`` returns the messages of a new set of rows that no earlier call returned and
+    publishes their bits. A call adds one part: new words of the dictionary and new bits,
+    nothing is written twice. A version is a small file that lists its parts; version n + 1
+    is published by a rename that fails if there is one, so of two writers one wins and the
+    other reads the new version and takes again. A run that dies half-way leaves the old
+    version in force. Across calls the first arrival of a message wins.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 256):
@@ -295,62 +306,88 @@ class SeenStore:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def version(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(at):
-            return None
-        text = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()
-        state = json.loads(text[0])
+    def version(self) -> tuple[int, list[str]]:
+        """The number of the current version, 0 if there is none, and its parts."""
+        fs, at = self._fs(f"{self.path}/versions")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, []
+        last = max(numbers)
+        state = json.loads(self.spark.read.text(f"{self.path}/versions/{last:08d}", wholetext=True).first()[0])
         if state["shards"] != self.shards:
             raise ValueError(f"the store has {state['shards']} shards, not {self.shards}")
-        return state["version"]
+        return last, state["parts"]
 
-    def _read(self, version: str | None, part: str) -> DataFrame | None:
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}/{part}")
+    def _read(self, parts: list[str], kind: str) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{p}/{kind}" for p in parts]) if parts else None
 
-    def take(self, rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    def take(self, rows: DataFrame, keys: Keys = Keys(), tries: int = 5) -> DataFrame:
         """The undelivered messages among ``rows``; their bits are then set.
 
         The dictionary maps every identifier (id, line) to its message's code, so a
         later copy is known by either of them.
         """
-        old = self.version()
-        dictionary, seen = self._read(old, "dictionary"), self._read(old, "bitmaps")
-        home = f"{self.path}/v-{uuid.uuid4().hex}"
-        names = identifiers(message_keys(rows, keys))
-        found = messages(rows, keys)
-        if old is None:
+        keyed = cut_lineage(message_keys(rows, keys), "keyed")
+        for _ in range(tries):
+            number, parts = self.version()
+            part = f"part-{uuid.uuid4().hex}"
+            try:
+                out = self._add(keyed, parts, part)
+                self._publish(number + 1, [*parts, part])
+                forget(keyed)
+                return out
+            except Conflict:
+                drop_path(self.spark, f"{self.path}/{part}")
+        raise Conflict(f"{tries} other writers were first")
+
+    def _add(self, keyed: DataFrame, parts: list[str], part: str) -> DataFrame:
+        home = f"{self.path}/{part}"
+        dictionary, seen = self._read(parts, "dictionary"), self._read(parts, "bitmaps")
+        names, found = identifiers(keyed), best_arrivals(keyed)
+        if dictionary is None:
             codes = encode(found, self.shards)
         else:
             met = names.join(dictionary, ["conv", "kind", "value"])
             known = met.groupBy("key").agg(F.min(F.struct("shard", "code")).alias("at")).select("key", "at.shard", "at.code")
             bases = dictionary.groupBy("shard").agg((F.max("code") + 1).alias("base"))
             codes = encode(found, self.shards, known, bases)
+            seen = seen.groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
         codes.write.parquet(f"{home}/arrived")
         codes = self.spark.read.parquet(f"{home}/arrived")
         (codes if seen is None else unseen(codes, seen)).write.parquet(f"{home}/delivered")
         out = self.spark.read.parquet(f"{home}/delivered")
         words = names.join(codes.select("key", "shard", "code"), "key").select("conv", "kind", "value", "shard", "code")
-        if dictionary is not None:
-            words = dictionary.unionByName(words.join(dictionary, ["conv", "kind", "value"], "left_anti"))
-        words.write.parquet(f"{home}/dictionary")
-        bits = bitmaps(out)
-        if seen is not None:
-            bits = seen.unionByName(bits).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        bits.write.option("compression", "zstd").parquet(f"{home}/bitmaps")
-        self._publish(home.rpartition("/")[2])
+        (words if dictionary is None else words.join(dictionary, ["conv", "kind", "value"], "left_anti")).write.parquet(f"{home}/dictionary")
+        bitmaps(out).write.option("compression", "zstd").parquet(f"{home}/bitmaps")
         return out
 
-    def _publish(self, version: str) -> None:
-        text = json.dumps({"version": version, "shards": self.shards})
-        fs, tmp = self._fs(f"{self.path}/.CURRENT-{version}")
+    def compact(self) -> None:
+        """One part in place of all: the dictionary as it is, the bits or-ed."""
+        number, parts = self.version()
+        if len(parts) < 2:
+            return
+        part = f"part-{uuid.uuid4().hex}"
+        self._read(parts, "dictionary").write.parquet(f"{self.path}/{part}/dictionary")
+        bits = self._read(parts, "bitmaps").groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        bits.write.option("compression", "zstd").parquet(f"{self.path}/{part}/bitmaps")
+        self._publish(number + 1, [part])
+
+    def _publish(self, number: int, parts: list[str]) -> None:
+        jvm = self.spark._jvm
+        fs, tmp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(json.dumps({"shards": self.shards, "parts": parts}).encode()))
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT"), overwrite)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{number:08d}"), plain)
+        except Py4JJavaError as error:
+            fs.delete(tmp, False)
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            raise Conflict(f"version {number} is there already") from None
 
     def forget(self) -> None:
         drop_path(self.spark, self.path)

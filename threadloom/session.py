@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -37,25 +38,53 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a folder below the warehouse directory takes its place.
+    It is the cluster's ``spark.checkpoint.dir``. Only in local mode, where every task
+    runs on this machine, a folder below the warehouse directory takes its place.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all machines share")
     return spark.conf.get("spark.sql.warehouse.dir", os.path.abspath("spark-warehouse")).rstrip("/") + "/_shared"
 
 
+#: Tables written by cut_lineage that are still there, with their sessions.
+_TABLES: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result survives the loss of any executor and starts a fresh plan, so loops
-    neither grow their lineage nor recompute earlier rounds.
+    neither grow their lineage nor recompute earlier rounds. The table goes with
+    :func:`forget`, with :func:`release`, or at the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table of a result of :func:`cut_lineage` that nothing reads any more."""
+    path = getattr(df, "_cut_path", None)
+    if path in _TABLES:
+        drop_path(_TABLES.pop(path), path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete all tables that :func:`cut_lineage` has left; results that read them are void then."""
+    while _TABLES:
+        path, spark = _TABLES.popitem()
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session is gone, and its folder is the cluster's to clear
+            pass
 
 
 def held(df: DataFrame, condition: Column) -> DataFrame:
