@@ -22,7 +22,7 @@ QUERIES = {"p2_found": p2_found, "p2_delivered": p2_delivered}
 
 #: Labels spread over shared lines and ids until nothing changes; USING KEY is not
 #: needed because a label only ever falls.
-_LABELS = r"""
+LABELS = r"""
 WITH RECURSIVE m AS (
   SELECT row_id, conv_ref, jsonl_line AS line, batch_no,
          nullif(regexp_replace(assistant_message_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id
@@ -48,6 +48,6 @@ ranked AS (
 """
 
 ORACLES = {
-    "p2_found": _LABELS + "SELECT row_id FROM ranked WHERE rn > 1",
-    "p2_delivered": _LABELS + "SELECT conv_ref, row_id, CAST(line AS BIGINT) AS jsonl_line, CAST(first_line AS BIGINT) AS first_line, copies FROM ranked WHERE rn = 1",
+    "p2_found": LABELS + "SELECT row_id FROM ranked WHERE rn > 1",
+    "p2_delivered": LABELS + "SELECT conv_ref, row_id, CAST(line AS BIGINT) AS jsonl_line, CAST(first_line AS BIGINT) AS first_line, copies FROM ranked WHERE rn = 1",
 }
