@@ -94,7 +94,9 @@ def test_reasons(judged):
 def test_emitted_in_order_with_threads_apart(judged):
     rows, _ = judged
     got = conversations.conversations(rows).toPandas()
-    assert set(got.conv_ref) == {"sound", "roles", "unnumbered", "sub", "redelivered"}
+    assert set(got.conv_ref) == {"sound", "roles", "unnumbered", "sub", "redelivered", "cycle"}
+    ring = got[(got.conv_ref == "cycle") & (got.thread == "t")]
+    assert len(ring) == 1 and ring.depth.isna().all() and ring.path.isna().all()
     sub = got[got.conv_ref == "sub"].sort_values("position")
     assert list(sub.depth) == [0, 0, 1, 1, 2, 0]
     assert list(sub[sub.depth == 2].path.iloc[0]) == ["t1", "t2"]

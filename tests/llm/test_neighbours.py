@@ -81,7 +81,7 @@ def test_traversal_visits_cells_by_rising_distance():
 def test_full_cells_are_divided_again(spark):
     """A crowd that one cell takes in; the traversal goes on inside it and around it."""
     rng = np.random.default_rng(1)
-    crowd = 1.0 + np.repeat(0.1 * rng.normal(size=(200, 64)), 12, axis=0) + 0.015 * rng.normal(size=(2400, 64))
+    crowd = 1.0 + np.repeat(0.3 * rng.normal(size=(200, 64)), 12, axis=0) + 0.05 * rng.normal(size=(2400, 64))
     x = np.concatenate([crowd, topics(600, 12, seed=2)])
     options = Options(full=60, per_small_cell=20, region=300, per_cell=100, candidates=200)
     rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions.text import blank_to_null, is_blank
 from threadloom.operators import delivery
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, forget
 
 #: Reasons to drop a conversation, in the order in which ``reasons`` lists them.
 REASONS = (
@@ -82,7 +82,7 @@ def threads(kept: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         open_before = still
         above = state.select("conv", F.col("thread").alias("up"), F.col("status").alias("s"), F.col("up").alias("next"), F.col("path").alias("head"))
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             state.join(above, ["conv", "up"], "left").select(
                 "conv",
                 "thread",
@@ -92,6 +92,7 @@ def threads(kept: DataFrame, max_rounds: int = 40) -> DataFrame:
             ),
             "threads",
         )
+        forget(before)
     return state.select(
         "conv",
         "thread",
@@ -133,7 +134,7 @@ def verdicts(kept: DataFrame, hung: DataFrame) -> DataFrame:
             F.bool_or(F.when(F.col("has_next"), F.coalesce(F.col("hi") >= F.col("next_lo"), F.lit(True))).otherwise(False)).alias("falls"),
         )
     )
-    lost = hung.groupBy("conv").agg(F.bool_or(F.col("status") == "orphan").alias("orphan"), F.bool_or(F.col("status") == "cycle").alias("cycle"))
+    lost = hung.groupBy("conv").agg(F.bool_or(F.col("status") == "orphan").alias("orphan"))
     numbered = F.col("n_ordinals") > 0
     flags = {
         "bad_role": F.col("bad_role"),
@@ -153,14 +154,13 @@ def verdicts(kept: DataFrame, hung: DataFrame) -> DataFrame:
             "n",
             "n_main",
             F.filter(F.array(*[F.when(flags[r], F.lit(r)) for r in REASONS]), lambda r: r.isNotNull()).alias("reasons"),
-            F.coalesce("cycle", F.lit(False)).alias("cycle"),
         )
     )
 
 
 def judged(rows: DataFrame, keys: delivery.Keys = delivery.Keys()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The kept messages, their threads and the verdict on every conversation."""
-    kept = kept_messages(rows, keys).persist()
+    kept = cut_lineage(kept_messages(rows, keys), "kept")
     hung = threads(kept)
     return kept, hung, verdicts(kept, hung)
 
@@ -179,13 +179,14 @@ def conversations(rows: DataFrame, keys: delivery.Keys = delivery.Keys()) -> Dat
     parts of a message are joined by blank lines.
 
     Defined results: blank roles, nulls in ordinals, parents or parts never fail,
-    they are judged by the reasons above; repeated deliveries count once; threads on
-    a cycle have no path and their conversation is left out as well; no rows give no
-    conversations; other columns of the input may have any name.
+    they are judged by the reasons above, and exactly the conversations that
+    :func:`dropped` lists are left out; repeated deliveries count once; threads on a
+    cycle, or hanging off one, have a null depth and path; no rows give no conversations;
+    other columns of the input may have any name.
     """
     kept, hung, judged_ = judged(rows, keys)
     # The conversations that go are the smaller list; main messages need no thread.
-    gone = cut_lineage(judged_.where((F.size("reasons") > 0) | F.col("cycle")).select("conv"), "gone")
+    gone = cut_lineage(judged_.where(F.size("reasons") > 0).select("conv"), "gone")
     left = kept.join(gone, "conv", "left_anti").select("conv", "row", "first_line", "ordinal", "role", "parent")
     below = left.where(F.col("parent").isNotNull()).join(hung.select("conv", F.col("thread").alias("parent"), "depth", "path"), ["conv", "parent"], "left")
     main = left.where(F.col("parent").isNull()).select("*", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
@@ -199,8 +200,8 @@ def conversations(rows: DataFrame, keys: delivery.Keys = delivery.Keys()) -> Dat
     return placed.select(
         F.col("conv").alias("conv_ref"),
         F.col("parent").alias("thread"),
-        F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.coalesce("path", F.array().cast("array<string>")).alias("path"),
+        "depth",
+        "path",
         F.coalesce("ordinal", "first_line").alias("position"),
         "role",
         "text",

@@ -410,6 +410,14 @@ def best_of(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray,
 _NEAR = pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))
 
 
+def _lists(ids: np.ndarray, best_ids: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """``id, near``: the ids with what was found for them, best first."""
+    real = best > -2
+    ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
+    near = pa.StructArray.from_arrays([pa.array(-best[real].astype(np.float64)), pa.array(best_ids[real])], names=["d", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), near).cast(_NEAR)], names=["id", "near"])
+
+
 def _rerank(options: Options):
     """Answers one block of a region: the best of the leaves that each vector seeks in it."""
 
@@ -439,10 +447,7 @@ def _rerank(options: Options):
             both_ids, both = np.concatenate([best_ids[mine], got_ids], axis=1), np.concatenate([best[mine], got], axis=1)
             rank = np.lexsort((both_ids, -both), axis=1)[:, :k]
             best_ids[mine], best[mine] = np.take_along_axis(both_ids, rank, axis=1), np.take_along_axis(both, rank, axis=1)
-        real = best > -2
-        ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
-        near = pa.StructArray.from_arrays([pa.array(-best[real].astype(np.float64)), pa.array(best_ids[real])], names=["d", "other"])
-        return pa.table({"id": ids[asks], "near": pa.ListArray.from_arrays(pa.array(ends), near).cast(_NEAR)})
+        return pa.Table.from_batches([_lists(ids[asks], best_ids, best)])
 
     return run
 
@@ -501,6 +506,37 @@ def neighbours(vectors: DataFrame, options: Options = Options()) -> DataFrame:
     return each.select("id", F.explode(own).alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.d")).alias("similarity"))
 
 
+def exact(asked: DataFrame, units: DataFrame, options: Options = Options(), block: int = 2000) -> DataFrame:
+    """The true ``k`` best of the vectors ``asked`` (``id, q``) among ``units``, for measuring recall.
+
+    The vectors that ask are sent block by block to where the others are; every task keeps
+    the best it has and only these are shuffled.
+    """
+    kind = "id long, near array<struct<d:double,other:long>>"
+    out = None
+    blocks = max(1, -(-asked.count() // block))
+    for n in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "q").toArrow()
+        shared = asked.sparkSession.sparkContext.broadcast((mine.column("id").to_numpy(), _matrix(mine.column("q"), options.dim)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            best_ids, best = np.zeros((len(ids), options.k), np.int64), np.full((len(ids), options.k), -2, np.float32)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                got_ids, got = best_of(x, _matrix(batch.column(1), options.dim), ids, batch.column(0).to_numpy(), options.k)
+                both_ids, both = np.concatenate([best_ids, got_ids], axis=1), np.concatenate([best, got], axis=1)
+                rank = np.lexsort((both_ids, -both), axis=1)[:, : options.k]
+                best_ids, best = np.take_along_axis(both_ids, rank, axis=1), np.take_along_axis(both, rank, axis=1)
+            yield _lists(ids, best_ids, best)
+
+        part = units.select("id", "q").mapInArrow(run, kind)
+        out = part if out is None else out.unionByName(part)
+    lists = out.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, options.k).alias("near"))
+    return lists.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.d")).alias("similarity"))
+
+
 def pairs(found: DataFrame) -> DataFrame:
     """``id_a < id_b``: pairs in which either is among the neighbours of the other."""
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
