@@ -163,6 +163,16 @@ ORACLES: dict[str, str] = {
         WHERE bad_role OR (numbered > 0 AND (numbered < n OR different < numbered OR least <> 1 OR most <> numbered))
           OR (numbered > 0 AND conv_ref IN (SELECT conv_ref FROM falls)) OR conv_ref IN (SELECT conv_ref FROM orphans)
           OR coalesce(opens <> 'user', true) OR coalesce(closes <> 'assistant', true)""",
+    # Passages of twelve words as letters, inside documents as letters.
+    "p6_found": r"""WITH d AS (
+          SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', chr(1), 'g'), '\]\([^()\s]+\)', ']', 'g'), '\\[nrtbf]', ' ', 'g') AS t
+          FROM documents WHERE text IS NOT NULL),
+        s AS (
+          SELECT doc_id, regexp_replace(lower(regexp_replace(replace(replace(replace(t, '&shy;', ''), '&amp;', '&'), '&nbsp;', ' '), '\p{Cf}|\p{Mn}|\p{Me}', '', 'g')), '[^\p{L}\p{N}]+', '', 'g') AS letters
+          FROM d),
+        w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM eval_items),
+        p AS (SELECT item_id, unnest(list_transform(range(1, len(words) - 10), lambda i: array_to_string(words[i:i + 11], ''))) AS passage FROM w)
+        SELECT DISTINCT doc_id, item_id FROM s JOIN p ON contains(s.letters, p.passage)""",
     "p7_sources": f"""WITH d AS (SELECT {_SOURCE} AS source, count(*) AS documents FROM documents WHERE {_BARE.format("text")} IS NOT NULL GROUP BY ALL),
         t AS (SELECT {_SOURCE} AS source, sum(target_share) AS target_share FROM mix_targets WHERE target_share > 0 GROUP BY ALL)
         SELECT t.source, coalesce(d.documents, 0) AS documents, round(t.target_share, 9) AS target_share, true AS within_repeats, true AS within_budget
