@@ -57,7 +57,7 @@ def is_clear_metadata(col: Column) -> Column:
 
 def strip_fences(col: Column) -> Column:
     """Without spans between triple backquotes; an open one takes the rest."""
-    return F.regexp_replace(col, r"(?s)\x60{3}.*?(?:\x60{3}|\z)", "")
+    return F.regexp_replace(col, r"(?s)`{3}.*?(?:`{3}|\z)", "")
 
 
 def strip_tags(col: Column) -> Column:
@@ -88,7 +88,7 @@ def is_artifact(block: Column) -> Column:
     """Boxes, tables and code rather than language."""
     count = lambda cls: F.regexp_count(block, F.lit(cls))
     solid, box = count(r"\P{IsWhite_Space}"), count(f"[{BOX}]")
-    marks, letters = count(r"[|\-+=_\x60]"), count(r"[\p{IsAlphabetic}\p{N}]")
+    marks, letters = count(r"[|\-+=_`]"), count(r"[\p{IsAlphabetic}\p{N}]")
     return (
         (solid == 0)
         | (box * 4 >= solid)

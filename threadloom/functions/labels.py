@@ -16,6 +16,11 @@ def head_and_tail(col: Column, limit: int = SEGMENT_CHARS) -> Column:
     return F.when(F.length(col) <= limit, col).otherwise(F.concat(F.left(col, F.lit(limit - tail)), F.right(col, F.lit(tail))))
 
 
+def head(col: Column, limit: int | None = SEGMENT_CHARS) -> Column:
+    """The first characters up to the limit; without a limit the whole text."""
+    return col if limit is None else F.left(col, F.lit(limit))
+
+
 def tool_summary(name: Column, json: Column) -> Column:
     """``tool name input_keys=a,b``; without keys the name alone."""
     keys = F.array_sort(F.json_object_keys(json))
@@ -76,8 +81,8 @@ def short_id(col: Column) -> Column:
 
 def fence(col: Column) -> Column:
     """A code fence longer than any run of backquotes inside."""
-    runs = F.transform(F.regexp_extract_all(col, F.lit("(\x60+)"), F.lit(1)), F.length)
-    return F.repeat(F.lit("\x60"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+    runs = F.transform(F.regexp_extract_all(col, F.lit("(`+)"), F.lit(1)), F.length)
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
 def freshness(then: Column, now: Column) -> Column:

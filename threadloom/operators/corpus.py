@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.labels import title
 from threadloom.functions.matching import normalize
-from threadloom.functions.paths import project_root, short_name
+from threadloom.functions.paths import decode_path, project_root, short_name
 from threadloom.functions.text import blank_to_null
 from threadloom.plans.query import Ref
 
@@ -38,7 +38,7 @@ def searchable(entries: DataFrame, include_agents: bool = True) -> DataFrame:
     summary_l, project_l, body_l, text_l, literal_text``.
     """
     agents = F.col("agent_search_text") if include_agents else F.lit(None).cast("string")
-    project = F.coalesce(short_name(F.col("cwd")), F.col("project_dir"))
+    project = short_name(F.coalesce("cwd", decode_path(F.col("project_dir"))))
     body = join_filled("full_text", agents)
     return entries.select(
         "conv_ref",

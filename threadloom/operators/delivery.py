@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions.text import blank_to_null
 from threadloom.operators.components import connected_components
+from threadloom.operators.positions import positions
 from threadloom.session import cut_lineage, drop_path, forget
 
 #: Bits of one bitmap, fixed by Spark's bitmap functions.
@@ -48,18 +49,19 @@ class Keys:
     row: str = "row_id"
 
 
-def _arrivals(rows: DataFrame, keys: Keys) -> DataFrame:
-    """Distinct ``(conv, line, id)`` with their best row, the rest folded in."""
+def _arrivals(rows: DataFrame, keys: Keys, facts: dict[str, Column]) -> DataFrame:
+    """Distinct ``(conv, line, id)`` with their best row and its facts, the rest folded in."""
     base = rows.select(
         F.col(keys.conv).alias("conv"),
         F.col(keys.line).cast("long").alias("line"),
         blank_to_null(F.col(keys.ident).cast("string")).alias("id"),
         F.col(keys.batch).cast("long").alias("batch"),
         F.col(keys.row).alias("row"),
+        *[c.alias(f"_{name}") for name, c in facts.items()],
     )
     alone = F.col("conv").isNull() | (F.col("line").isNull() & F.col("id").isNull())
     # A null batch counts as the last one.
-    rank = F.struct(F.col("batch").isNull().alias("late"), F.col("batch"), F.col("row"))
+    rank = F.struct(F.col("batch").isNull().alias("late"), F.col("batch"), F.col("row"), *[F.col(f"_{name}").alias(name) for name in facts])
     return (
         base.withColumn("solo", F.when(alone, F.col("row").cast("string")))
         .groupBy("conv", "line", "id", "solo")
@@ -67,14 +69,15 @@ def _arrivals(rows: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-def message_keys(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
+def message_keys(rows: DataFrame, keys: Keys = Keys(), facts: dict[str, Column] | None = None) -> DataFrame:
     """Distinct ``(conv, line, id)`` groups with the message each belongs to.
 
     Adds ``k_id`` and ``k_line`` to the arrivals: the least id of the message, or
     its line where it has no id at all. Both are null for rows that identify
-    nothing (``solo`` then holds the row itself).
+    nothing (``solo`` then holds the row itself). ``facts`` are columns of the rows that
+    go along with the best row of each arrival, so nothing has to be joined back.
     """
-    arrivals = _arrivals(rows, keys)
+    arrivals = _arrivals(rows, keys, facts or {})
     known = F.col("id").isNotNull() & F.col("line").isNotNull()
     nothing = F.lit(None).cast("string")
     # Only lines meet in a window and only names in a join: rows without them, which may be
@@ -105,15 +108,15 @@ def messages(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
 def best_arrivals(keyed: DataFrame) -> DataFrame:
     """The messages of a table made by :func:`message_keys`."""
     order = F.struct(F.col("line").isNull(), -F.col("line"), F.col("best.late"), F.col("best.batch"), F.col("best.row"))
+    facts = keyed.schema["best"].dataType.names[3:]
     return (
-        keyed
-        .groupBy("conv", "k_id", "k_line", "solo")
+        keyed.groupBy("conv", "k_id", "k_line", "solo")
         .agg(
-            F.min_by(F.struct("line", "best.batch", "best.row"), order).alias("pick"),
+            F.min_by(F.struct("line", "best"), order).alias("pick"),
             F.min("line").alias("first_line"),
             F.sum("copies").alias("copies"),
         )
-        .select("conv", "k_id", "k_line", "solo", "pick.line", "pick.batch", "pick.row", "first_line", "copies")
+        .select("conv", "k_id", "k_line", "solo", "pick.line", "pick.best.batch", "pick.best.row", "first_line", "copies", *[F.col(f"pick.best.{f}").alias(f) for f in facts])
     )
 
 
@@ -256,32 +259,24 @@ def extra_copies(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
     return rows.select(keys.row).join(kept, keys.row, "left_anti")
 
 
-def with_ordinals(rows: DataFrame, keys: Keys = Keys(), ordinal: str = "ordinal") -> DataFrame:
-    """All rows, with an ordinal where it was null; ordinals that are given stay.
+def delivered(rows: DataFrame, keys: Keys = Keys(), ordinal: str = "ordinal") -> DataFrame:
+    """The remaining row of every message, numbered in its conversation.
 
-    A row without one takes the least ordinal of its message's other rows. Messages that
-    have none at all follow the last ordinal of their conversation in the order of their
-    first lines (a null line last), so a conversation without ordinals is numbered from 1.
-    Rows without a conversation are left out where they have no ordinal.
+    The columns of ``rows``; ``ordinal`` is the place, from 1 without gaps, in the order of
+    the ordinals given, then of first lines (messages without an ordinal come last, those
+    without a line last of these), then of rows. ``message_count`` is added: the messages of
+    the conversation. Rows without a conversation belong to none and are left out.
+
+    Only identifiers are shuffled and numbered, and the rows joined once.
     """
-    missing = F.col(ordinal).isNull()
-    ident = blank_to_null(F.col(keys.ident).cast("string"))
-    narrow = rows.select(keys.conv, keys.line, keys.ident, keys.batch, keys.row, F.col(ordinal).alias("_at"))
-    part = narrow.join(narrow.where(F.col("_at").isNull()).select(keys.conv).distinct(), keys.conv, "left_semi")
-    keyed = message_keys(part, keys).withColumn("_key", _key()).select("conv", F.col("line").alias("_line"), F.col("id").alias("_id"), "solo", "_key")
-    line = F.col(keys.line).cast("long")
-    solo = F.when(line.isNull() & ident.isNull(), F.col(keys.row).cast("string"))
-    own = part.select(F.col(keys.conv).alias("_conv"), line.alias("_l"), ident.alias("_i"), solo.alias("_s"), F.col(keys.row).alias("_row"), "_at")
-    same = (F.col("_conv") == F.col("conv")) & F.col("_l").eqNullSafe(F.col("_line")) & F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("solo"))
-    told = own.join(keyed, same).select("_conv", "_key", "_row", "_l", "_at")
-    each = told.groupBy("_conv", "_key").agg(F.min("_at").alias("_given"), F.min("_l").alias("_first"))
-    top = told.groupBy("_conv").agg(F.coalesce(F.max("_at"), F.lit(0)).alias("_top"))
-    rank = F.row_number().over(Window.partitionBy("_conv", F.col("_given").isNull()).orderBy(F.col("_first").asc_nulls_last(), "_key"))
-    numbered = each.withColumn("_rank", rank).join(top, "_conv")
-    place = F.coalesce("_given", F.col("_top") + F.col("_rank")).cast(rows.schema[ordinal].dataType)
-    found = numbered.select("_conv", "_key", place.alias("_place")).join(told.where(F.col("_at").isNull()), ["_conv", "_key"])
-    filled = rows.where(missing).join(found.select("_row", "_place"), F.col(keys.row) == F.col("_row")).withColumn(ordinal, F.col("_place"))
-    return rows.where(~missing).unionByName(filled.select(*rows.columns))
+    kept = best_arrivals(message_keys(rows, keys, {"given": F.col(ordinal).cast("long")})).where(F.col("conv").isNotNull())
+    late = F.lit(1 << 31)
+    place = F.coalesce("given", late + F.coalesce("first_line", late))
+    at = positions(kept.select("conv", "row", place.alias("at"), F.coalesce("first_line", late).alias("line")), "conv", "at", "_place", ties=("line", "row"))
+    at = cut_lineage(at.select("conv", F.col("row").alias(keys.row), "_place"), "places")
+    counts = at.groupBy("conv").agg(F.max("_place").alias("message_count"))
+    found = rows.join(at.join(counts, "conv").drop("conv"), keys.row)
+    return found.withColumn(ordinal, F.col("_place").cast(rows.schema[ordinal].dataType)).select(*rows.columns, "message_count")
 
 
 class Conflict(RuntimeError):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.cleaning import CAVEAT, is_clear_metadata, semantic_turn, skill_preview
-from threadloom.functions.labels import SEGMENT_CHARS, head_and_tail, tool_summary
+from threadloom.functions.labels import SEGMENT_CHARS, head, head_and_tail, tool_summary
 from threadloom.functions.paths import decode_path
 from threadloom.functions.text import blank_to_null, is_blank, strip
 
@@ -47,13 +47,13 @@ def counts_as_message(blocks: Column) -> Column:
     return F.coalesce(F.exists(blocks, lambda b: F.coalesce(shows(b), F.lit(False))), F.lit(False))
 
 
-def agent_text(blocks: Column, user: Column) -> Column:
-    """What a subagent's message adds to the search text."""
+def agent_text(blocks: Column, user: Column, limit: int | None = SEGMENT_CHARS) -> Column:
+    """What a subagent's message adds to the search text; ``limit`` bounds a block's text."""
     one = lambda b: (
-        F.when(b["type"] == "text", head_and_tail(F.coalesce(F.when(user, skill_preview(b["text"])), b["text"])))
+        F.when(b["type"] == "text", head(F.coalesce(F.when(user, skill_preview(b["text"])), b["text"]), limit))
         .when(b["type"] == "tool_use", tool_summary(b["name"], F.to_json(b["input"])))
         .when(b["type"] == "tool_result", result_text(b["content"]))
-        .when(b["type"] == "thinking", head_and_tail(b["thinking"]))
+        .when(b["type"] == "thinking", head(b["thinking"], limit))
     )
     return F.array_join(F.filter(F.transform(blocks, one), lambda t: ~is_blank(t)), " ")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.functions.labels import SEGMENT_CHARS, head_and_tail, tool_summary
+from threadloom.functions.labels import SEGMENT_CHARS, head, head_and_tail, tool_summary
 from threadloom.functions.matching import all_of, fold_case, has_literal, is_sensitive, normalize, quote, word_matches
 from threadloom.functions.text import is_blank, squeeze
 from threadloom.plans.query import ParsedQuery, parse
@@ -14,17 +14,22 @@ from threadloom.session import held
 SOURCES = ("dialogue", "tool", "thinking")
 
 
-def segment_text(part: Column) -> Column:
-    """The searchable text of a message part; too long ones keep head and tail."""
+def segment_text(part: Column, limit: int | None = SEGMENT_CHARS) -> Column:
+    """The searchable text of a message part.
+
+    Of longer results and summaries of tools head and tail are kept, of text and thinking
+    the head; without a limit every part is whole.
+    """
+    bounded = (lambda c: c) if limit is None else (lambda c: head_and_tail(c, limit))
     text = (
-        F.when(part["kind"] == "tool_use", tool_summary(part["name"], part["input"]))
-        .when(part["kind"] == "tool_result", part["content"])
-        .otherwise(part["text"])
+        F.when(part["kind"] == "tool_use", bounded(tool_summary(part["name"], part["input"])))
+        .when(part["kind"] == "tool_result", bounded(part["content"]))
+        .otherwise(head(part["text"], limit))
     )
-    return head_and_tail(F.coalesce(text, F.lit("")), SEGMENT_CHARS)
+    return F.coalesce(text, F.lit(""))
 
 
-def segments(rows: DataFrame) -> DataFrame:
+def segments(rows: DataFrame, limit: int | None = SEGMENT_CHARS) -> DataFrame:
     """Messages with their searchable segments and the body they make up.
 
     Adds ``segments`` (``text, normal, source`` as rank, ``tools, tool_results, thinking`` and
@@ -35,7 +40,7 @@ def segments(rows: DataFrame) -> DataFrame:
     raw = F.transform(
         F.coalesce("parts", F.array().cast(rows.schema["parts"].dataType)),
         lambda p: F.struct(
-            segment_text(p).alias("text"),
+            segment_text(p, limit).alias("text"),
             F.when(kind(p, "thinking"), 2).when(kind(p, "tool_use") | kind(p, "tool_result"), 1).otherwise(0).alias("source"),
             kind(p, "tool_use").alias("tools"),
             kind(p, "tool_result").alias("tool_results"),
@@ -100,7 +105,7 @@ def _may_hold(text: str) -> Column:
     """False only for messages none of whose parts can hold ``text`` (in lower case).
 
     Literals may run over the end of a part, so they are looked for piece by piece;
-    parts above a segment's size always may, as they are cut.
+    results above a segment's size always may, as their head and tail meet.
     """
     pieces = [F.lit(p) for p in text.split("\n") if p]
     longest = max(text.split("\n"), key=len)
@@ -122,9 +127,13 @@ def _any(flag: str) -> Column:
     return F.exists("_touched", lambda s: s[flag])
 
 
-def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFrame:
+def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1, limit: int | None = SEGMENT_CHARS) -> DataFrame:
     """Messages that hold all words and literals of the query, with scores and ranges.
 
+    ``rows`` are messages of :func:`delivery.delivered`; a column ``timestamp``, the time of
+    the conversation, goes along. ``limit`` bounds the characters of a segment; without it
+    parts of any length are searched whole.
+
     ``conv_ref, ordinal, score, source, preview, focus, read, tools, tool_results,
     thinking, subagents``. A score is 4 a distinct term, 3 a literal, 2 a pair of words
     side by side, and the inverse of the bytes the matches span. ``read`` is the focus
@@ -138,7 +147,7 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFram
         words = ["\0"]  # nothing holds it
     # Most messages fail cheap tests on their raw parts, before any segment is built.
     likely = rows.where(all_of([_may_hold(w) for w in words] + [_may_hold(x.lower()) for x in literals]))
-    parts = segments(likely).withColumn("normal", F.array_join(F.transform("segments", lambda s: s["normal"]), " "))
+    parts = segments(likely, limit).withColumn("normal", F.array_join(F.transform("segments", lambda s: s["normal"]), " "))
     found = held(parts, all_of([has_literal(F.col("body"), x) for x in literals] + [word_matches(F.col("normal"), w) for w in words]))
     spans = [F.transform("segments", _word_span(w)) for w in words]
     spans += [F.transform("segments", _literal_span(x)) for x in literals]
@@ -163,33 +172,34 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1) -> DataFram
         low("b0").alias("first_offset"),
         *[_any(o).alias(o) for o in ("tools", "tool_results", "thinking")],
         (~is_blank("parent_tool_use_id")).alias("subagents"),
+        "message_count",
+        (F.col("timestamp") if "timestamp" in rows.columns else F.lit(None).cast("timestamp")).alias("timestamp"),
     )
-    sizes = rows.groupBy("conv_ref").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    placed = scored.join(sizes, "conv_ref")
-    return placed.select(
+    return scored.select(
         "conv_ref",
         "ordinal",
         "score",
         "source",
         "preview",
         F.struct(F.col("ordinal").alias("start"), F.col("ordinal").alias("end")).alias("focus"),
-        F.struct(F.greatest(F.col("ordinal") - radius, F.lit(1)).alias("start"), F.least(F.col("ordinal") + radius, F.col("n")).alias("end")).alias("read"),
+        F.struct(F.greatest(F.col("ordinal") - radius, F.lit(1)).alias("start"), F.least(F.col("ordinal") + radius, F.col("message_count")).alias("end")).alias("read"),
         "tools",
         "tool_results",
         "thinking",
         "subagents",
         "first_offset",
+        "timestamp",
     )
 
 
-def _best_first(*before) -> list[Column]:
+def _best_first(*before: Column) -> list[Column]:
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    return [F.col("score").desc(), *map(F.col, before), F.col("ordinal"), rank, F.col("first_offset")]
+    return [F.col("score").desc(), *before, F.col("ordinal"), rank, F.col("first_offset")]
 
 
 def best_hits(found: DataFrame, limit: int) -> DataFrame:
-    """The hits in their total order, cut."""
-    return found.orderBy(*_best_first("conv_ref")).limit(limit)
+    """The hits in their total order, cut: score, newer conversation, ref, place."""
+    return found.orderBy(*_best_first(F.col("timestamp").desc_nulls_last(), F.col("conv_ref"))).limit(limit)
 
 
 def best_in_conversation(found: DataFrame, limit: int) -> DataFrame:

@@ -214,5 +214,5 @@ def matched_terms(text: Column, query: str) -> Column:
 
 def suspicious(chunks: DataFrame) -> DataFrame:
     """Chunks whose text still carries fences or structural tags, which cleaning should have removed."""
-    marks = ("\x60\x60\x60", "<system-reminder>", "<command-name>", "<local-command-stdout>")
+    marks = ("```", "<system-reminder>", "<command-name>", "<local-command-stdout>")
     return chunks.where(any_in(F.col("text"), marks))

@@ -23,11 +23,11 @@ QUERIES = {"p2_found": p2_found, "p2_delivered": p2_delivered}
 #: Labels spread over shared lines and ids until nothing changes; USING KEY is not
 #: needed because a label only ever falls.
 LABELS = r"""
-WITH RECURSIVE m AS (
+WITH RECURSIVE raw AS (
   SELECT row_id, conv_ref, jsonl_line AS line, batch_no,
          nullif(regexp_replace(assistant_message_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id
   FROM messages),
-rep AS (SELECT conv_ref, line, min(id) AS a, unnest(list_distinct(list(id))) AS b FROM m WHERE id IS NOT NULL GROUP BY conv_ref, line),
+rep AS (SELECT conv_ref, line, min(id) AS a, unnest(list_distinct(list(id))) AS b FROM raw WHERE id IS NOT NULL GROUP BY conv_ref, line),
 link AS (SELECT DISTINCT conv_ref, a, b FROM rep WHERE a <> b UNION SELECT DISTINCT conv_ref, b, a FROM rep WHERE a <> b),
 reach AS (
   SELECT DISTINCT conv_ref, a AS v, a AS w FROM link
@@ -35,8 +35,8 @@ reach AS (
   SELECT reach.conv_ref, reach.v, link.b FROM reach JOIN link ON reach.conv_ref = link.conv_ref AND reach.w = link.a),
 root AS (SELECT conv_ref, v, min(w) AS r FROM reach GROUP BY conv_ref, v),
 named AS (
-  SELECT m.*, coalesce(m.id, first_rep.a) AS one
-  FROM m LEFT JOIN (SELECT DISTINCT conv_ref, line, a FROM rep) first_rep ON m.conv_ref = first_rep.conv_ref AND m.line = first_rep.line),
+  SELECT raw.*, coalesce(raw.id, first_rep.a) AS one
+  FROM raw LEFT JOIN (SELECT DISTINCT conv_ref, line, a FROM rep) first_rep ON raw.conv_ref = first_rep.conv_ref AND raw.line = first_rep.line),
 keyed AS (
   SELECT named.*, coalesce(root.r, named.one) AS k_id, CASE WHEN named.one IS NULL THEN named.line END AS k_line
   FROM named LEFT JOIN root ON named.conv_ref = root.conv_ref AND named.one = root.v),

@@ -6,6 +6,7 @@ from threadloom.functions.cleaning import TAGS
 from threadloom.functions.matching import SEPARATORS
 from threadloom.operators.activity import TOOLS
 from threadloom.operators.lexical import WEIGHTS
+from threadloom.plans.delivery_queries import LABELS
 from threadloom.plans.search_queries import _VECTOR, NOW
 
 _SPACE = r"\s\p{Z}\x{0B}\x{85}"
@@ -46,17 +47,18 @@ _CURRENT = """current AS (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, file_size DESC NULLS LAST, entry_id DESC) AS version FROM cache_entries)
   WHERE version = 1 AND NOT coalesce(is_empty, false))"""
 
+_DECODED = """array_to_string(list_transform(regexp_extract_all(project_dir, '-+|[^-]+'), lambda r: CASE WHEN r[1] <> '-' THEN r WHEN length(r) = 1 THEN '/' WHEN length(r) = 2 THEN '__'
+          ELSE '/' || repeat('__', (length(r) - 1) // 2) || CASE WHEN (length(r) - 1) % 2 = 1 THEN '/' ELSE '' END END), '')"""
 _SHORT = """CASE
-    WHEN cwd IS NULL THEN project_dir
-    WHEN regexp_matches(cwd, '[^/]/*(__worktrees/|/\\.worktrees/)[^/]')
-      THEN regexp_extract(cwd, '([^/]+)/*(__worktrees/|/\\.worktrees/)([^/]+)', 1) || '/' || regexp_extract(cwd, '([^/]+)/*(__worktrees/|/\\.worktrees/)([^/]+)', 3)
-    WHEN list_extract(string_split(rtrim(cwd, '/'), '/'), -1) = '' THEN cwd
-    ELSE list_extract(string_split(rtrim(cwd, '/'), '/'), -1) END"""
+    WHEN regexp_matches(home, '[^/]/*(__worktrees/|/\\.worktrees/)[^/]')
+      THEN regexp_extract(home, '([^/]+)/*(__worktrees/|/\\.worktrees/)([^/]+)', 1) || '/' || regexp_extract(home, '([^/]+)/*(__worktrees/|/\\.worktrees/)([^/]+)', 3)
+    WHEN list_extract(string_split(rtrim(home, '/'), '/'), -1) = '' THEN home
+    ELSE list_extract(string_split(rtrim(home, '/'), '/'), -1) END"""
 
 _TEXTS = f"""texts AS (
   SELECT conv_ref, path, project_dir, mtime, {_SHORT} AS project_name,
          concat_ws(' ', nullif(full_text, ''), nullif(agent_search_text, '')) AS body, custom_title, summary
-  FROM current),
+  FROM (SELECT *, coalesce(cwd, {_DECODED}) AS home FROM current)),
 fields AS (
   SELECT *, {norm("coalesce(custom_title, '')")} AS title_l, {norm("coalesce(summary, '')")} AS summary_l, {norm("coalesce(project_name, '')")} AS project_l,
          {norm("body")} AS body_l,
@@ -85,9 +87,18 @@ def _scored(words: list[str], literals: tuple[tuple[str, bool], ...] = (), where
 
 # -- messages ------------------------------------------------------------------------
 
-_BOUND = "CASE WHEN length(t) <= 16384 THEN t ELSE left(t, 12288) || right(t, 4096) END"
+#: Results of tools keep head and tail, other parts the head.
+_BOUND = "CASE WHEN length(t) <= 16384 THEN t WHEN kind IN ('tool_use', 'tool_result') THEN left(t, 12288) || right(t, 4096) ELSE left(t, 16384) END"
+#: Messages as they remain of what was delivered, numbered in their conversation.
+_DELIVERED = LABELS.strip() + """,
+m AS (
+  SELECT x.* EXCLUDE (ordinal), mtime,
+         row_number() OVER (PARTITION BY x.conv_ref ORDER BY coalesce(x.ordinal::BIGINT, 2147483648 + coalesce(k.first_line, 2147483648)), coalesce(k.first_line, 2147483648), x.row_id)::INT AS ordinal
+  FROM messages x JOIN (SELECT row_id, first_line FROM ranked WHERE rn = 1 AND conv_ref IS NOT NULL) k USING (row_id)
+  LEFT JOIN (SELECT conv_ref, max(mtime) AS mtime FROM current GROUP BY conv_ref) e ON x.conv_ref = e.conv_ref)"""
+_LINES = _DELIVERED.replace("WITH RECURSIVE raw AS (", f"WITH RECURSIVE {_CURRENT},\nraw AS (", 1)
 _TOOL = """'tool ' || coalesce(p.name, '') || CASE WHEN len(json_keys(p.input)) > 0 THEN ' input_keys=' || array_to_string(list_sort(json_keys(p.input)), ',') ELSE '' END"""
-_SEGMENTS = f"""m AS (SELECT * FROM messages WHERE ordinal IS NOT NULL),
+_SEGMENTS = f"""{_LINES},
 parts AS (
   SELECT row_id, conv_ref, ordinal, parent_tool_use_id, i, p.kind AS kind,
          coalesce(CASE p.kind WHEN 'tool_use' THEN {_TOOL} WHEN 'tool_result' THEN p.content ELSE p.text END, '') AS t
@@ -116,7 +127,7 @@ def _hits(words: list[str], literals: tuple[tuple[str, bool], ...] = ()) -> str:
     tests += [f"contains(body, {quote(x)})" if sensitive else f"contains(lower(body), {quote(x.lower())})" for x, sensitive in literals]
     pairs = " + ".join(f"contains(n, {quote(f'{a} {b}')})::INT" for a, b in zip(words, words[1:])) or "0"
     return f"""
-WITH {_SEGMENTS},
+{_SEGMENTS},
 spans AS ({" UNION ALL ".join(spans)}),
 best AS (
   SELECT row_id, count(DISTINCT term) AS terms, min(b0) AS b0, max(b1) AS b1, min(c0) AS c0, max(c1) AS c1, min(source) AS source,
@@ -127,7 +138,7 @@ hits AS (
   SELECT m.conv_ref, m.ordinal, 4.0 * terms + {3.0 * len(literals)} + 2.0 * ({pairs}) + 1.0 / greatest(b1 - b0, 1) AS score,
          ['dialogue', 'tool', 'thinking'][source + 1] AS source,
          left({squeeze("substring(body, greatest(c0 - 41, 0)::INT + 1, (c1 + 80 - greatest(c0 - 41, 0))::INT)")}, 160) AS preview,
-         greatest(m.ordinal - 1, 1) AS read_start, least(m.ordinal + 1, size)::INT AS read_end, tools, tool_results, thinking,
+         greatest(m.ordinal - 1, 1) AS read_start, least(m.ordinal + 1, size)::INT AS read_end, tools, tool_results, thinking, b0 AS first_offset, mtime,
          coalesce({trim("m.parent_tool_use_id")}, '') <> '' AS subagents
   FROM best JOIN texts USING (row_id) JOIN m USING (row_id) JOIN sizes ON sizes.conv_ref = m.conv_ref
   WHERE {" AND ".join(tests)})
@@ -136,11 +147,6 @@ hits AS (
 
 _HIT_COLUMNS = "conv_ref, ordinal, round(score, 6) AS score, source, preview, read_start, read_end, tools, tool_results, thinking, subagents"
 
-_FIRST_LINES = """lines AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_ref, ordinal ORDER BY jsonl_line DESC, batch_no, row_id) AS rn FROM messages WHERE ordinal IS NOT NULL)
-  WHERE rn = 1)"""
-
-
 def _sentence(prefix_: str = "") -> str:
     said = [f"CASE WHEN {prefix_}{c} > 0 THEN '{verb} ' || {prefix_}{c} || ' {noun}' || CASE WHEN {prefix_}{c} = 1 THEN '' ELSE 's' END END" for c, _, verb, noun in TOOLS]
     s = f"concat_ws(', ', {', '.join(said)})"
@@ -160,11 +166,11 @@ scored AS (
   SELECT *, CASE WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 THEN list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]) ELSE 0.0::DOUBLE END AS semantic,
          coalesce((contains(lower(text), 'slow')::INT + contains(lower(text), 'parser')::INT) * 0.1::DOUBLE, NULL) AS lexical
   FROM vectors),
-ranked AS (
+by_chunk AS (
   SELECT *, semantic + lexical AS hybrid,
          row_number() OVER (PARTITION BY conv_ref ORDER BY round(semantic + lexical, 9) DESC NULLS LAST, round(semantic, 9) DESC, lexical DESC NULLS LAST, session_id NULLS FIRST, chunk_index, chunk_id) AS rn
   FROM scored),
-best AS (SELECT * FROM ranked WHERE rn = 1)"""
+best AS (SELECT * FROM by_chunk WHERE rn = 1)"""
 
 _AGE = f"epoch_us({_NOW}) - epoch_us(mtime)"
 
@@ -186,7 +192,7 @@ ORACLES = {
     + f""" AS bare FROM documents),
         s AS (SELECT *, {squeeze("bare")} AS one FROM c)
         SELECT doc_id, md5(bare) AS bare, strlen(bare)::INT AS bytes, CASE WHEN length(one) <= 240 THEN one ELSE left(one, 237) || '...' END AS snippet FROM s""",
-    "atoms": """SELECT item_id, replace(replace(replace(replace(url_encode(left(text, 120)), '+', '%20'), '%2F', '/'), '%3A', ':'), '%2B', '+') AS atom FROM eval_items""",
+    "atoms": """SELECT item_id, replace(replace(replace(replace(url_encode(text), '+', '%20'), '%2F', '/'), '%3A', ':'), '%2B', '+') AS atom FROM eval_items""",
     "entry_labels": f"""SELECT entry_id,
         CASE WHEN total_tokens >= 1000000 THEN printf('%.1fM', total_tokens / 1000000.0) WHEN total_tokens >= 1000 THEN (total_tokens // 1000) || 'k' ELSE total_tokens::VARCHAR END AS tokens,
         CASE WHEN mtime IS NULL THEN NULL
@@ -217,14 +223,14 @@ ORACLES = {
     + """SELECT conv_ref, rank, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY conv_ref ORDER BY floor(score * 10) DESC, list_position(['dialogue', 'tool', 'thinking'], source), score DESC, ordinal)::INT AS rank FROM hits)
         WHERE rank <= 2""",
-    "tool_totals": f"""WITH t AS (SELECT conv_ref, p.name AS name FROM (SELECT conv_ref, unnest(parts) AS p FROM messages) WHERE p.kind = 'tool_use'),
+    "tool_totals": f"""{_LINES}, t AS (SELECT conv_ref, p.name AS name FROM (SELECT conv_ref, unnest(parts) AS p FROM m) WHERE p.kind = 'tool_use'),
         c AS (SELECT conv_ref, {_counters("name")} FROM t GROUP BY conv_ref) SELECT *, {_sentence()} AS sentence FROM c""",
-    "tool_runs": f"""WITH {_FIRST_LINES},
+    "tool_runs": f"""{_LINES},
         marked AS (
           SELECT conv_ref, ordinal, parts, nullif({trim("parent_tool_use_id")}, '') AS parent,
             CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: p.kind <> 'tool_use')) = 0 AND lower({trim("role")}) = 'assistant' THEN 'call'
                  WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: p.kind <> 'tool_result')) = 0 AND lower({trim("role")}) = 'user' THEN 'result' ELSE 'other' END AS kind
-          FROM lines),
+          FROM m),
         linked AS (SELECT *, lag(kind) OVER w AS was, lag(parent) OVER w AS had FROM marked WHERE kind <> 'result' WINDOW w AS (PARTITION BY conv_ref ORDER BY ordinal)),
         runs AS (
           SELECT *, sum(CASE WHEN kind = 'call' AND NOT coalesce(was = 'call' AND had IS NOT DISTINCT FROM parent, false) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_ref ORDER BY ordinal) AS run FROM linked),
@@ -235,15 +241,15 @@ ORACLES = {
         calls AS (SELECT DISTINCT conv_ref, p.id AS call, p.name AS name FROM p WHERE p.kind = 'tool_use'),
         results AS (SELECT conv_ref, p.tool_use_id AS call, count(*) AS results, min(row_id) AS first_row FROM p WHERE p.kind = 'tool_result' GROUP BY ALL)
         SELECT conv_ref, call, name, results, first_row FROM calls JOIN results USING (conv_ref, call)""",
-    "tool_keys": f"SELECT row_id, (i - 1)::INT AS n, {_TOOL} AS summary FROM (SELECT row_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM messages) WHERE p.kind = 'tool_use'",
+    "tool_keys": f"{_LINES} SELECT row_id, (i - 1)::INT AS n, {_TOOL} AS summary FROM (SELECT row_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM m) WHERE p.kind = 'tool_use'",
     "conversation_times": """WITH t AS (SELECT conv_ref, jsonl_line, row_id, try_cast(ts AS TIMESTAMPTZ) AS t FROM messages),
         g AS (SELECT conv_ref, arg_min(epoch_us(t), (jsonl_line, row_id)) FILTER (t IS NOT NULL) AS a, arg_max(epoch_us(t), (jsonl_line, row_id)) FILTER (t IS NOT NULL) AS b FROM t GROUP BY conv_ref)
         SELECT conv_ref, CASE WHEN floor((b - a) / 60000000.0) > 0 THEN floor((b - a) / 60000000.0)::BIGINT END AS minutes FROM g""",
-    "previews": f"""WITH {_FIRST_LINES},
-        t AS (SELECT conv_ref, ordinal, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), ' ') AS text FROM lines),
+    "previews": f"""{_LINES},
+        t AS (SELECT conv_ref, ordinal, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), ' ') AS text FROM m),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal) AS up, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal DESC) AS down FROM t WHERE text <> '')
         SELECT conv_ref, string_agg(text, ' ... ' ORDER BY up) FILTER (up <= 3) AS first, string_agg(text, ' ... ' ORDER BY down) FILTER (down <= 3) AS last FROM r GROUP BY conv_ref""",
-    "message_positions": f"WITH {_FIRST_LINES} SELECT conv_ref, ordinal, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal)::INT AS position FROM lines",
+    "message_positions": f"{_LINES} SELECT conv_ref, ordinal, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal)::INT AS position FROM m",
     "best_chunks": f"""WITH {_CHUNKS}
         SELECT conv_ref, chunk_id, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(hybrid, 6) AS hybrid,
           CASE WHEN hybrid >= 0.85 THEN 'strong' WHEN hybrid >= 0.65 THEN 'good' WHEN hybrid >= 0.35 THEN 'fair' ELSE 'weak' END AS quality,
@@ -259,9 +265,9 @@ ORACLES = {
         SELECT conv_ref, start, finish, round(coalesce(1.0 / (60 + lr), 0) + coalesce(1.0 / (60 + sr), 0), 9) AS score,
           CASE WHEN lr IS NOT NULL AND sr IS NOT NULL THEN 'hybrid' WHEN lr IS NULL THEN 'semantic' ELSE 'lexical' END AS source
         FROM lex FULL JOIN sem USING (conv_ref, start, finish)""",
-    "outlines": f"""WITH {_FIRST_LINES}, v AS (
+    "outlines": f"""{_LINES}, v AS (
           SELECT conv_ref, ordinal, lower({trim("role")}) AS role, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), chr(10)) AS body
-          FROM lines WHERE coalesce({trim("parent_tool_use_id")}, '') = ''),
+          FROM m WHERE coalesce({trim("parent_tool_use_id")}, '') = ''),
         s AS (SELECT *, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal) AS place, count(*) OVER (PARTITION BY conv_ref) AS n, left({squeeze("body")}, 80) AS snippet FROM v WHERE body <> '')
         SELECT conv_ref, ordinal AS start, ordinal AS finish, length(body) AS chars, 'm' || ordinal || ' role=' || coalesce(nullif(role, ''), '') || ' c~' || length(body) || ' ' || snippet AS line FROM s WHERE n <= 20
         UNION ALL
@@ -273,9 +279,9 @@ ORACLES = {
         array_to_string(list_transform(regexp_extract_all(project_dir, '-+|[^-]+'), lambda r: CASE WHEN r[1] <> '-' THEN r WHEN length(r) % 2 = 1 THEN '/' || repeat('_', length(r) - 1) ELSE repeat('_', length(r)) END), '') AS display,
         regexp_replace(path, '[^A-Za-z0-9-]', '-', 'g') AS again FROM projects""",
     "model_labels": """SELECT entry_id, CASE WHEN length(model) > 20 AND NOT regexp_matches(model, '-[0-9]{8}$') THEN left(model, 19) || '…' ELSE model END AS model FROM cache_entries""",
-    "shown_lines": f"""WITH {_FIRST_LINES}, v AS (
+    "shown_lines": f"""{_LINES}, v AS (
           SELECT conv_ref, ordinal, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), chr(10)) AS body
-          FROM lines WHERE coalesce({trim("parent_tool_use_id")}, '') = ''),
+          FROM m WHERE coalesce({trim("parent_tool_use_id")}, '') = ''),
         l AS (SELECT conv_ref, ordinal, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM v WHERE body <> ''),
         k AS (SELECT *, lag(line) OVER (PARTITION BY conv_ref, ordinal ORDER BY i) AS before FROM l)
         SELECT conv_ref, ordinal, row_number() OVER (PARTITION BY conv_ref, ordinal ORDER BY i)::INT AS line_no, line FROM k WHERE i = 1 OR trim(line) <> '' OR trim(before) <> ''""",

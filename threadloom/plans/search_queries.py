@@ -102,7 +102,7 @@ def semantic_turns(spark, root):
 
 
 def atoms(spark, root):
-    return table(spark, root, "eval_items").select("item_id", labels.atom(F.left("text", F.lit(120))).alias("atom"))
+    return table(spark, root, "eval_items").select("item_id", labels.atom(F.col("text")).alias("atom"))
 
 
 def entry_labels(spark, root):
@@ -166,13 +166,9 @@ _HIT = ("conv_ref", "ordinal", "score", "source", "preview", "read_start", "read
 
 
 def _messages(spark, root):
-    """Delivered messages with ordinals; those without are left out, as in the queries' SQL."""
-    return table(spark, root, "messages").where(F.col("ordinal").isNotNull())
-
-
-def _all_messages(spark, root):
-    """All delivered messages; those without an ordinal get one from their first line."""
-    return delivery.with_ordinals(table(spark, root, "messages"))
+    """All messages, each once and numbered in its conversation, with its conversation's time."""
+    times = _entries(spark, root).groupBy("conv_ref").agg(F.max("mtime").alias("timestamp"))
+    return delivery.delivered(table(spark, root, "messages")).join(times, "conv_ref", "left")
 
 
 def _hit_rows(found: DataFrame) -> DataFrame:
@@ -198,26 +194,20 @@ def hits_per_conversation(spark, root):
 
 def grouped_hits(spark, root):
     """The ten best conversations; the limit of candidates holds inside each conversation."""
-    found = messages.best_in_conversation(messages.hits(_all_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
+    found = messages.best_in_conversation(messages.hits(_messages(spark, root), "long parser"), lexical.candidate_limit(10, 2))
     return ranking.best_groups(ranking.group_hits(found), 10)
 
 
 def outlines(spark, root):
-    return protocol.outline(_first_lines(spark, root))
+    return protocol.outline(_messages(spark, root))
 
 
 def tool_totals(spark, root):
-    return activity.tool_counts(table(spark, root, "messages"), "conv_ref")
+    return activity.tool_counts(_messages(spark, root), "conv_ref")
 
 
 def tool_runs(spark, root):
-    return activity.tool_runs(_first_lines(spark, root))
-
-
-def _first_lines(spark, root, of=_messages):
-    """One row per conversation and ordinal: the last line delivered first."""
-    best = Window.partitionBy("conv_ref", "ordinal").orderBy(F.col("jsonl_line").desc(), "batch_no", "row_id")
-    return of(spark, root).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
+    return activity.tool_runs(_messages(spark, root))
 
 
 def tool_results(spark, root):
@@ -229,7 +219,7 @@ def tool_results(spark, root):
 
 
 def tool_keys(spark, root):
-    parts = table(spark, root, "messages").select("row_id", F.posexplode("parts").alias("n", "p")).where(F.col("p.kind") == "tool_use")
+    parts = _messages(spark, root).select("row_id", F.posexplode("parts").alias("n", "p")).where(F.col("p.kind") == "tool_use")
     return parts.select("row_id", "n", labels.tool_summary(F.col("p.name"), F.col("p.input")).alias("summary"))
 
 
@@ -248,7 +238,7 @@ def previews(spark, root):
     Only three of each are ever kept: ranks are limited before the shuffle.
     """
     text = F.array_join(F.transform(F.filter("parts", lambda p: (p["kind"] == "text") & blank_to_null(p["text"]).isNotNull()), lambda p: p["text"]), " ")
-    t = _first_lines(spark, root).select("conv_ref", "ordinal", text.alias("text")).where(F.col("text") != "")
+    t = _messages(spark, root).select("conv_ref", "ordinal", text.alias("text")).where(F.col("text") != "")
     up, down = Window.partitionBy("conv_ref").orderBy("ordinal"), Window.partitionBy("conv_ref").orderBy(F.col("ordinal").desc())
     first = t.withColumn("r", F.row_number().over(up)).where(F.col("r") <= 3)
     last = t.withColumn("r", F.row_number().over(down)).where(F.col("r") <= 3)
@@ -258,7 +248,7 @@ def previews(spark, root):
 
 def message_positions(spark, root):
     """The place of each message in its conversation, counted without gaps."""
-    placed = positions.positions(_first_lines(spark, root).select("conv_ref", "ordinal"), "conv_ref", "ordinal", block=16)
+    placed = positions.positions(_messages(spark, root).select("conv_ref", "ordinal"), "conv_ref", "ordinal", block=16)
     return placed.select("conv_ref", "ordinal", "position")
 
 
@@ -290,15 +280,16 @@ def stale_chunks(spark, root):
     return c.where(~F.coalesce(fresh, F.lit(False))).select("chunk_id")
 
 
-def fused_hits(spark, root):
+def fused_hits(spark, root, limit=100):
+    """Ranks of both lists fused. ``limit`` is the length of the lists, as it is for a search; None takes all."""
     hits = messages.hits(_messages(spark, root), "slow parser").groupBy("conv_ref", "ordinal").agg(F.max("score").alias("score"))
     order = Window.orderBy(F.col("score").desc(), "conv_ref", "ordinal")
-    # Result lists are bounded: ranks are given to the best hundred hits and chunks.
-    lex = hits.orderBy(F.col("score").desc(), "conv_ref", "ordinal").limit(100)
+    lex = hits if limit is None else hits.orderBy(F.col("score").desc(), "conv_ref", "ordinal").limit(limit)
     lex = lex.select("conv_ref", F.struct(F.col("ordinal").alias("start"), F.col("ordinal").alias("end")).alias("focus"), F.row_number().over(order).alias("rank"), F.lit(False).alias("exact"))
     sem = semantic.rank(_chunks(spark, root), _VECTOR, "slow parser").where(F.col("m_start").isNotNull())
     # Equal to nine digits is equal: engines add up products in different orders.
-    sem = sem.withColumn("hybrid", F.round("hybrid", 9)).orderBy(F.col("hybrid").desc(), "conv_ref").limit(100)
+    sem = sem.withColumn("hybrid", F.round("hybrid", 9))
+    sem = sem if limit is None else sem.orderBy(F.col("hybrid").desc(), "conv_ref").limit(limit)
     sem = sem.select("conv_ref", F.struct(F.col("m_start").alias("start"), F.col("m_end").alias("end")).alias("focus"), F.row_number().over(Window.orderBy(F.col("hybrid").desc(), "conv_ref")).alias("rank"))
     return ranking.fuse(lex, sem).select("conv_ref", F.col("focus.start").alias("start"), F.col("focus.end").alias("finish"), F.round("score", 9).alias("score"), "source")
 
@@ -326,7 +317,7 @@ def conversation_refs(spark, root):
 
 def exported_paragraphs(spark, root):
     """Dialogue as markdown, one paragraph per message."""
-    return export.paragraphs(_first_lines(spark, root, _all_messages), "markdown")
+    return export.paragraphs(_messages(spark, root), "markdown")
 
 
 def evidence_spots(spark, root):
@@ -341,7 +332,7 @@ def tool_displays(spark, root):
 
 def shown_lines(spark, root):
     """Lines of dialogue as a viewer numbers them."""
-    return viewer.body_lines(protocol.rendered(_first_lines(spark, root)))
+    return viewer.body_lines(protocol.rendered(_messages(spark, root)))
 
 
 def model_labels(spark, root):
