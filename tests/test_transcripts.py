@@ -100,7 +100,7 @@ def test_errors_keep_their_context(spark, tmp_path, fold_of):
     assert [json.loads(x)["message"]["content"] if x else "" for x in errors[4]["context_before"]] == ["line 1", ""]
     assert len(errors[4]["context_after"]) == 2 and len(errors[8]["context_after"]) == 1
     assert c["message_count"] == 5
-    assert fold.messages(entries, strict=True).count() == 0 and fold.messages(entries).count() == 5
+    assert fold.messages(entries, bad="drop").count() == 0 and fold.messages(entries).count() == 5
 
 
 def test_required_fields(spark, tmp_path, fold_of):

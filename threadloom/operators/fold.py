@@ -184,15 +184,21 @@ def conversations(entries: DataFrame) -> DataFrame:
     )
 
 
-def messages(entries: DataFrame, strict: bool = False) -> DataFrame:
+def messages(entries: DataFrame, bad: str = "skip") -> DataFrame:
     """Transcript messages in order, lines of one answer merged into its last line.
 
     ``path, ordinal, role, timestamp, jsonl_line, assistant_message_id,
-    parent_tool_use_id, parts``. With ``strict`` a transcript with an unparsable line
-    gives no messages at all.
+    parent_tool_use_id, parts``. ``bad`` says what becomes of lines that do not parse:
+    ``skip`` leaves out the line, ``drop`` its transcript, and ``fail`` ends the query with
+    an error that names the transcript and the line.
     """
-    if strict:
+    if bad not in ("skip", "drop", "fail"):
+        raise ValueError(f"unknown treatment of bad lines: {bad!r}")
+    if bad == "drop":
         entries = entries.join(entries.where(F.col("error").isNotNull()).select("path").distinct(), "path", "left_anti")
+    if bad == "fail":
+        told = F.concat(F.col("path"), F.lit(", line "), F.col("line_no").cast("string"), F.lit(": "), F.col("error"))
+        entries = entries.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
     ok = entries.where(F.col("error").isNull())
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     user, answer, sub = F.col("type") == "user", F.col("type") == "assistant", F.col("progress_type").isin("user", "assistant")

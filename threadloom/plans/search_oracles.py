@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.functions.cleaning import TAGS
+from threadloom.functions.cleaning import BOX, CODE_MARKERS, COMMAND_TERMS, TAGS, VALIDATION_TERMS
 from threadloom.functions.matching import SEPARATORS
 from threadloom.operators.activity import TOOLS
 from threadloom.operators.lexical import WEIGHTS
@@ -42,6 +42,22 @@ def adjacent(x: str, words: list[str], cap: int = 3) -> str:
     return f"least({cap}, {' + '.join(pairs)})" if pairs else "0"
 
 
+def turn(x: str, assistant: str) -> str:
+    """The part of a turn that carries meaning, as the semantic index sees it; null if nothing is left."""
+    body = f"regexp_replace({x}, '(?s)```.*?(```|\\z)', '', 'g')"
+    for tag in TAGS:
+        body = f"regexp_replace({body}, '(?s)<{tag}>.*?(</{tag}>|\\z)', '', 'g')"
+    blocks = f"list_transform(regexp_extract_all({squeeze(body)}, '[{BOX}]+|[^{BOX}]+'), lambda b: trim(b))"
+    low = " OR ".join(f"contains(b, '{o}{t}>')" for t in TAGS for o in ("<", "</"))
+    status = f"(({' OR '.join(f'contains(lower(b), {quote(t)})' for t in VALIDATION_TERMS)}) AND ({' OR '.join(f'contains(lower(b), {quote(t)})' for t in COMMAND_TERMS)}))"
+    count = lambda cls: f"len(regexp_extract_all(b, '{cls}'))"
+    solid, box, marks, letters = count(f"[^{_SPACE}]"), count(f"[{BOX}]"), count("[|\\-+=_`]"), count("[\\p{L}\\p{Nl}\\p{N}]")
+    code = " OR ".join(f"contains(b, {quote(m)})" for m in CODE_MARKERS)
+    artifact = f"({solid} = 0 OR {box} * 4 >= {solid} OR ({box} >= 3 AND {solid} <= 24) OR ({marks} * 2 > {letters} AND contains(b, '|')) OR (({code}) AND {marks} > {letters} // 4))"
+    kept = f"list_filter({blocks}, lambda b: b <> '' AND NOT starts_with(b, '/') AND NOT ({low}) AND NOT ({assistant} AND {status}) AND NOT {artifact})"
+    return f"nullif({squeeze(f'array_to_string({kept}, chr(32))')}, '')"
+
+
 _CURRENT = """current AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, file_size DESC NULLS LAST, entry_id DESC) AS version FROM cache_entries)
@@ -245,6 +261,14 @@ ORACLES = {
     "conversation_times": """WITH t AS (SELECT conv_ref, jsonl_line, row_id, try_cast(ts AS TIMESTAMPTZ) AS t FROM messages),
         g AS (SELECT conv_ref, arg_min(epoch_us(t), (jsonl_line, row_id)) FILTER (t IS NOT NULL) AS a, arg_max(epoch_us(t), (jsonl_line, row_id)) FILTER (t IS NOT NULL) AS b FROM t GROUP BY conv_ref)
         SELECT conv_ref, CASE WHEN floor((b - a) / 60000000.0) > 0 THEN floor((b - a) / 60000000.0)::BIGINT END AS minutes FROM g""",
+    "semantic_turns": f"""WITH t AS (
+          SELECT row_id, lower({trim("role")}) AS role, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text'), lambda p: p.text), ' ') AS text
+          FROM messages WHERE len(list_filter(parts, lambda p: p.kind = 'text')) > 0)
+        SELECT row_id, {turn("text", "coalesce(role = 'assistant', false)")} AS turn FROM t""",
+    "exported_paragraphs": f"""{_LINES}, b AS (
+          SELECT conv_ref, ordinal, lower({trim("role")}) AS r, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), chr(10)) AS body
+          FROM m WHERE coalesce({trim("parent_tool_use_id")}, '') = '')
+        SELECT conv_ref, ordinal, '## ' || CASE r WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE coalesce(nullif(r, ''), '?') END || chr(10) || chr(10) || body || chr(10) || chr(10) AS text FROM b WHERE body <> ''""",
     "previews": f"""{_LINES},
         t AS (SELECT conv_ref, ordinal, array_to_string(list_transform(list_filter(parts, lambda p: p.kind = 'text' AND coalesce({trim("p.text")}, '') <> ''), lambda p: p.text), ' ') AS text FROM m),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal) AS up, row_number() OVER (PARTITION BY conv_ref ORDER BY ordinal DESC) AS down FROM t WHERE text <> '')
