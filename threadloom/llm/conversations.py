@@ -41,16 +41,16 @@ def kept_messages(rows: DataFrame, keys: delivery.Keys = delivery.Keys()) -> Dat
     ``conv, row, first_line, ordinal, role, parent, has_text, calls``. Rows without a
     conversation belong to none and are left out.
     """
-    kept = delivery.messages(rows, keys).where(F.col("conv").isNotNull()).select("conv", "row", "first_line")
-    facts = rows.select(
-        F.col(keys.row).alias("row"),
-        F.col("ordinal").cast("long").alias("ordinal"),
-        F.lower(blank_to_null("role")).alias("role"),
-        blank_to_null("parent_tool_use_id").alias("parent"),
-        F.coalesce(F.exists("parts", lambda p: (p["kind"] == "text") & ~is_blank(p["text"])), F.lit(False)).alias("has_text"),
-        F.coalesce(_tool_ids(F.col("parts")), F.array().cast("array<string>")).alias("calls"),
-    )
-    return kept.join(facts, "row")
+    facts = {
+        "ordinal": F.col("ordinal").cast("long"),
+        "role": F.lower(blank_to_null("role")),
+        "parent": blank_to_null("parent_tool_use_id"),
+        "has_text": F.coalesce(F.exists("parts", lambda p: (p["kind"] == "text") & ~is_blank(p["text"])), F.lit(False)),
+        "calls": F.coalesce(_tool_ids(F.col("parts")), F.array().cast("array<string>")),
+    }
+    # They go along with the rows that identify messages, so no row is joined back.
+    kept = delivery.best_arrivals(delivery.message_keys(rows, keys, facts))
+    return kept.where(F.col("conv").isNotNull()).select("conv", "row", "first_line", *facts)
 
 
 def threads(kept: DataFrame, max_rounds: int = 40) -> DataFrame:
