@@ -174,17 +174,20 @@ def test_components_of_random_graphs(spark):
     assert set(got) == set(near)
 
 
-def test_every_row_gets_an_ordinal(spark, tmp_path):
+def test_every_message_gets_a_place(spark, tmp_path):
     from threadloom.plans import search_queries
 
     rows = [(1, "none", 5, "m", 0), (2, "none", 2, None, 0), (3, "none", 7, "m", 1), (4, "some", 1, None, 0), (5, "some", 2, "a", 0), (6, "some", 3, " a", 0), (7, "some", 4, None, 0), (8, "some", None, None, 0), (9, "full", 4, None, 0)]
     given = {4: 1, 5: 2, 9: 8}
-    want = {1: 2, 2: 1, 3: 2, 4: 1, 5: 2, 6: 2, 7: 3, 8: 4, 9: 8}
+    # Every message once, numbered from 1: row 3 is row 1's message, row 6 row 5's.
+    want = {("none", 1): 2, ("none", 2): 3, ("some", 1): 4, ("some", 2): 6, ("some", 3): 7, ("some", 4): 8, ("full", 1): 9}
     df = frame(spark, rows).withColumn("ordinal", F.element_at(F.create_map(*[F.lit(x) for p in given.items() for x in p]), F.col("row_id").cast("int")))
-    assert {r["row_id"]: r["ordinal"] for r in delivery.with_ordinals(df).collect()} == want
+    got = delivery.delivered(df).collect()
+    assert {(r["conv_ref"], r["ordinal"]): r["row_id"] for r in got} == want
+    assert {r["conv_ref"]: r["message_count"] for r in got} == {"none": 2, "some": 4, "full": 1}
     part = "array(named_struct('kind', 'text', 'text', concat('long parser ', row_id), 'id', '', 'name', '', 'input', '{}', 'tool_use_id', '', 'content', ''))"
     full = df.selectExpr("row_id", "conv_ref", "ordinal", "'user' role", "jsonl_line", "assistant_message_id", "cast(null as string) parent_tool_use_id", f"{part} parts", "batch_no")
     full.write.parquet(f"{tmp_path}/messages.parquet")
-    # Rows 1 to 3 and 6 to 8 were left out.
-    assert {(r["conv_ref"], r["ordinal"]) for r in search_queries.exported_paragraphs(spark, str(tmp_path)).collect()} == {("none", 1), ("none", 2), *(("some", i) for i in range(1, 5)), ("full", 8)}
-    assert {r["conv_ref"]: r["total_hits"] for r in search_queries.grouped_hits(spark, str(tmp_path)).collect()} == {"none": 3, "some": 5, "full": 1}
+    spark.read.parquet("/root/testdata/sf0.001/cache_entries.parquet").limit(0).write.parquet(f"{tmp_path}/cache_entries.parquet")
+    assert {(r["conv_ref"], r["ordinal"]) for r in search_queries.exported_paragraphs(spark, str(tmp_path)).collect()} == set(want)
+    assert {r["conv_ref"]: r["total_hits"] for r in search_queries.grouped_hits(spark, str(tmp_path)).collect()} == {"none": 2, "some": 4, "full": 1}

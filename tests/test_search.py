@@ -98,12 +98,54 @@ def test_outline_and_read(spark):
     assert [(r["start"], r["finish"]) for r in long] == [(1, 10), (11, 20), (21, 25)]
     assert long[2]["line"] == "seg m21..m25 c~50 message 21 / message 25"
     m = rows(spark, *[f"message {i} " + "x" * 50 for i in range(1, 41)])
-    whole = protocol.read(m, "c", budget=None).first()
-    assert whole["cut"] == "none" and whole["text"].count("message m") == 40
-    part = protocol.read(m, "c", focus=(20, 20), budget=600).first()
-    assert part["cut"] == "head+focus+tail" and "message m20 " in part["text"] and len(part["text"]) <= 600
-    assert protocol.read(m, "c", start=3, end=4, budget=None).first()["text"].count("message m") == 2
-    assert protocol.cut_label([0, 1], 5) == "tail" and protocol.cut_label([2, 4], 5) == "head+focus"
+    whole = protocol.read(m, [("c", None, None)], budget=None)
+    assert whole.startswith("protocol agent-read v=1 cut=none budget=none\nconversation ref=c path=c.jsonl\n") and whole.count("message m") == 40
+    part = protocol.read(m, [("c", None, None)], focus=(20, 20), budget=600)
+    assert "cut=head+focus+tail budget=600" in part and "message m20 " in part and len(part) <= 600
+    assert protocol.read(m, [("c", 3, 4)], budget=None).count("message m") == 2
+    both = protocol.read(m.unionByName(rows(spark, "over there", conv="d")), [("d", None, None), ("c", 2, 3)], budget=None)
+    assert both.index("conversation ref=d") < both.index("over there") < both.index("conversation ref=c") < both.index("message m2 ")
+    with pytest.raises(ValueError):
+        protocol.read(m, [("c", 39, 41)])
+    text = protocol.outline_text(m, "c", budget=300)
+    assert "cut=tail" in text and len(text) <= 300 and "seg m1..m10" in text
+    assert protocol.outline_text(m, "c").count("seg m") == 4
+
+
+def test_intervals_within_a_budget():
+    fixed = len(protocol.header("read", "head+focus+tail", 1000))
+    assert protocol.within_budget([10] * 5, None, 1000) == (0, 5)
+    assert protocol.within_budget([300] * 9, (4, 5), 1000) == (3, 6)
+    assert protocol.within_budget([300, 300, 300, 2000, 300, 300], (4, 5), 1000) == (4, 6)  # what does not fit ends that side
+    assert protocol.within_budget([2000, 10], None, 1000) == (0, 0)
+    assert protocol.within_budget([1000 - fixed + 1, 20], (0, 1), 1000) == (0, 1)
+    assert [protocol.cut_label(*x) for x in ((0, 5, 5), (2, 5, 5), (0, 2, 5), (2, 3, 5), (0, 0, 5), (0, 0, 0))] == ["none", "head", "tail", "head+focus+tail", "tail", "none"]
+
+
+def test_long_parts_are_searched_to_their_limit_or_whole(spark):
+    m = rows(spark, "x" * 14_000 + " needle " + "y" * 9_000, "x" * 17_000 + " needle")
+    assert [h["ordinal"] for h in messages.hits(m, "needle").collect()] == [1]
+    assert sorted(h["ordinal"] for h in messages.hits(m, "needle", limit=None).collect()) == [1, 2]
+
+
+def test_newer_conversations_first_among_equals(spark):
+    m = rows(spark, "alpha", conv="old").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    m = m.unionByName(rows(spark, "alpha", conv="young").withColumn("timestamp", F.lit("2024-02-01").cast("timestamp")))
+    m = m.unionByName(rows(spark, "alpha", conv="a").withColumn("timestamp", F.lit(None).cast("timestamp")))
+    assert [h["conv_ref"] for h in messages.best_hits(messages.hits(m, "alpha"), 2).collect()] == ["young", "old"]
+
+
+def test_early_stop_and_settings(spark):
+    from threadloom.operators import retrieval
+    from threadloom.plans import query
+
+    found = spark.createDataFrame([("a", 1), ("c", 1), ("c", 2), ("d", 1)], "conv_ref string, ordinal int")
+    listed = spark.createDataFrame([("d", 4), ("a", 1), ("b", 2), ("c", 3)], "conv_ref string, rank int")
+    assert sorted(r["conv_ref"] for r in retrieval.until_enough(found, listed, 2).collect()) == ["a", "c", "c"]
+    assert query.SearchOptions.from_toml('[search]\nmode = "hybrid"\ntop = 3\nexclude_projects = ["x"]') == query.SearchOptions("hybrid", 3, exclude_projects=("x",))
+    with pytest.raises(ValueError):
+        query.SearchOptions.from_toml("[search]\nunknown = 1")
+    assert query.shown_mode("exact") == "lexical" and query.shown_mode("semantic") == "semantic"
 
 
 def test_chunk_packing():
@@ -171,7 +213,8 @@ def test_a_hot_conversation_does_not_crowd_out_groups(spark, tmp_path):
     m = rows(spark, *["long parser"] * 100, conv="a hot")
     for i in range(11):
         m = m.unionByName(rows(spark, f"long parser and {'more ' * i}text", "long parser", conv=f"cold{i:02}"))
-    m.withColumn("batch_no", F.lit(0)).withColumn("assistant_message_id", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/messages.parquet")
+    m.withColumn("row_id", F.monotonically_increasing_id()).withColumn("batch_no", F.lit(0)).withColumn("assistant_message_id", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/messages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/cache_entries.parquet").limit(0).write.parquet(f"{tmp_path}/cache_entries.parquet")
     got = {(r["conv_ref"], r["total_hits"]) for r in search_queries.grouped_hits(spark, str(tmp_path)).collect()}
     assert got == {("a hot", 80)} | {(f"cold{i:02}", 2) for i in range(9)}
 

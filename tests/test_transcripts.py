@@ -43,8 +43,8 @@ def turns(c):
 
 
 def test_warmup_counts_for_nothing_but_the_text(fold_of):
-    c, _ = fold_of(user("Warmup"), answer("Ready"), user("Real question"), answer("Real answer"))
-    assert c["message_count"] == 2 and c["preview_first"] == "Real question ... Real answer" and "Warmup Ready" in c["full_text"]
+    c, _ = fold_of(user("Warmup"), answer("At hand"), user("Where is the lamp"), answer("On the shelf"))
+    assert c["message_count"] == 2 and c["preview_first"] == "Where is the lamp ... On the shelf" and "Warmup At hand" in c["full_text"]
 
 
 def test_clear_only_transcripts_vanish(fold_of):
@@ -67,18 +67,18 @@ def test_titles_and_summaries(fold_of):
 
 
 def test_ordinals_of_subagents_and_streamed_answers(fold_of):
-    c, _ = fold_of(user("first visible"), sub("subagent hidden text"), answer("final assistant text"))
-    assert turns(c) == [("first visible", (1, 1)), ("final assistant text", (3, 3))]
-    assert c["agent_search_text"] == "subagent hidden text" and "hidden" not in c["full_text"]
+    c, _ = fold_of(user("a plain opening"), sub("found by the helper"), answer("closing remark"))
+    assert turns(c) == [("a plain opening", (1, 1)), ("closing remark", (3, 3))]
+    assert c["agent_search_text"] == "found by the helper" and "helper" not in c["full_text"]
     call = [{"type": "tool_use", "id": "t", "name": "Bash", "input": {}}]
-    c, _ = fold_of(user("question"), answer(call, "m1"), answer("final", "m1"), user("next"))
-    assert turns(c) == [("question", (1, 1)), ("final", (2, 2)), ("next", (3, 3))]
+    c, _ = fold_of(user("ask"), answer(call, "m1"), answer("settled", "m1"), user("onward"))
+    assert turns(c) == [("ask", (1, 1)), ("settled", (2, 2)), ("onward", (3, 3))]
 
 
 def test_an_answer_that_ends_empty_clears_its_turn(fold_of):
     tag = "<system-reminder>x</system-reminder>"
-    c, _ = fold_of(user("question"), answer("first", "m1"), answer("second draft", "m2"), answer(tag, "m1"), answer("second final", "m2"))
-    assert turns(c) == [("question", (1, 1)), ("second final", (3, 3))]
+    c, _ = fold_of(user("ask"), answer("opener", "m1"), answer("rough cut", "m2"), answer(tag, "m1"), answer("clean cut", "m2"))
+    assert turns(c) == [("ask", (1, 1)), ("clean cut", (3, 3))]
 
 
 def test_tokens_duration_and_first_values(fold_of):
@@ -94,7 +94,7 @@ def test_tokens_duration_and_first_values(fold_of):
 
 def test_errors_keep_their_context(spark, tmp_path, fold_of):
     good = [user(f"line {i}") for i in range(6)]
-    c, entries = fold_of(good[0], good[1], "", "invalid json here", good[2], good[3], good[4], {"type": "user"}, {"type": "future", "x": 1})
+    c, entries = fold_of(good[0], good[1], "", "{{no json", good[2], good[3], good[4], {"type": "user"}, {"type": "future", "x": 1})
     errors = {r["line_number"]: r for r in jsonl.parse_errors(jsonl.read_lines(spark, f"file://{tmp_path}"), entries).collect()}
     assert sorted(errors) == [4, 8]
     assert [json.loads(x)["message"]["content"] if x else "" for x in errors[4]["context_before"]] == ["line 1", ""]
@@ -119,7 +119,7 @@ def test_required_fields(spark, tmp_path, fold_of):
 def test_messages_merge_streamed_lines(spark, fold_of):
     call = [{"type": "tool_use", "id": "t", "name": "Bash", "input": {"b": 1}}]
     result = [{"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": "out"}, "more", {"type": "image", "text": "no"}]}]
-    _, entries = fold_of(answer("too early"), user("Warmup"), user("hi"), answer("dr", "m"), answer(call, "m"), user(result), sub("deep"))
+    _, entries = fold_of(answer("ahead of time"), user("Warmup"), user("hi"), answer("dr", "m"), answer(call, "m"), user(result), sub("deep"))
     rows = fold.messages(entries).orderBy("ordinal").collect()
     assert [(r["role"], r["jsonl_line"]) for r in rows] == [("user", 3), ("assistant", 5), ("user", 6), ("assistant", 7)]
     assert rows[1]["parts"][0]["input"] == '{"b":1}' and rows[2]["parts"][0]["content"] == "out\nmore"

@@ -78,3 +78,19 @@ def test_session_files(tmp_path):
     for bad in ("../x", "", "abc-1"):
         with pytest.raises((ValueError, FileNotFoundError)):
             sessions.delete(tmp_path, bad)
+
+
+def test_results_and_commands_on_display(spark):
+    from threadloom.functions import cleaning, labels
+
+    rows = [('"plain"',), ('[{"text": "a"}, {"type": "image"}, {"text": "b"}]',), ('[{"type": "image"}]',), ('{"b": 1, "a": null}',), (None,)]
+    v = spark.createDataFrame(rows, "j string").select(F.try_parse_json("j").alias("v"))
+    got = [r[0] for r in v.select(viewer.result_display(F.col("v"))).collect()]
+    assert got[:2] == ["plain", "a\n\nb"] and got[2].startswith("[\n  {") and got[3] == '{\n  "a": null,\n  "b": 1\n}' and got[4] == "<no content>"
+    texts = [("<local-command-stdout> out </local-command-stdout>",), ("<local-command-stdout> </local-command-stdout>",), ("<command-name>/clear</command-name>",), ("hi",), (None,)]
+    t = spark.createDataFrame(texts, "t string")
+    assert [r[0] for r in t.select(cleaning.export_command(F.col("t"))).collect()] == ["out", None, "/clear", "hi", None]
+    wide = spark.createDataFrame([("ab漢字cd",), ("漢字",), ("",), (None,)], "t string")
+    assert [tuple(r) for r in wide.select(labels.display_width(F.col("t")), labels.display_cut(F.col("t"), 5)).collect()] == [(8, "ab漢…"), (4, "漢字"), (0, ""), (None, None)]
+    keys = spark.createDataFrame([("a:b:3",), ("none",), (None,)], "k string")
+    assert [r[0] for r in keys.select(labels.key_prefix(F.col("k"))).collect()] == ["a:b", None, None]

@@ -122,3 +122,23 @@ def viewer_command(col: Column) -> Column:
         .when(F.startswith(text, F.lit(SKILL_BASE)), F.concat(F.lit("*Skill: "), F.get(F.filter(F.transform(F.split(F.substring(text, F.lit(len(SKILL_BASE) + 1), F.length(text)), "\n"), strip), lambda x: x != ""), F.lit(0)), F.lit("*")))
         .otherwise(F.coalesce(skill_preview(col), col))
     )
+
+
+def command_tag(col: Column) -> Column:
+    """``/name args`` of any command message, ``/clear`` too; null for others."""
+    text = strip(col)
+    name = _between(text, "command-name")
+    name = F.when(F.startswith(name, F.lit("/")), name)
+    return F.when(name.isNotNull(), F.concat_ws(" ", name, blank_to_null(_between(text, "command-args"))))
+
+
+def export_command(col: Column) -> Column:
+    """How exports show a command message: its output, its name and arguments, or the text itself.
+
+    A message that is nothing but empty output is not shown (null).
+    """
+    text = strip(col)
+    a, b = "<local-command-stdout>", "</local-command-stdout>"
+    wrapped = F.startswith(text, F.lit(a)) & F.endswith(text, F.lit(b)) & (F.length(text) >= len(a) + len(b))
+    inner = F.substring(text, F.lit(len(a) + 1), F.length(text) - len(a) - len(b))
+    return F.when(wrapped, blank_to_null(inner)).otherwise(F.coalesce(command_tag(col), col))

@@ -89,3 +89,53 @@ def freshness(then: Column, now: Column) -> Column:
     """2 for now and the future, halved every seven days."""
     days = (now.cast("double") - then.cast("double")) / 86400
     return F.when(days <= 0, 2.0).otherwise(2 * F.pow(F.lit(2.0), -days / 7))
+
+
+def clock_label(stamp: Column) -> Column:
+    """``HH:mm`` of an RFC 3339 stamp in the session's zone; null if it is none."""
+    return F.date_format(F.try_to_timestamp(stamp), "HH:mm")
+
+
+def key_prefix(key: Column) -> Column:
+    """A chunk key without its number: the text before the last colon; null without one."""
+    return F.when(F.contains(key, F.lit(":")), F.regexp_replace(key, r"(?s):[^:]*\z", ""))
+
+
+def hard_cut(col: Column, limit: int = 80) -> Column:
+    """White space collapsed and cut, without a mark."""
+    return F.left(squeeze(col), F.lit(limit))
+
+
+#: Characters two columns wide (fixed values): East Asian wide and full-width blocks.
+WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]"
+
+
+def display_width(col: Column) -> Column:
+    """Columns that a text takes on a terminal: two for wide characters, one for others."""
+    return F.length(col) + F.regexp_count(col, F.lit(WIDE))
+
+
+def display_cut(col: Column, width: int) -> Column:
+    """A text wider than ``width`` columns is cut so that it fits with ``…`` after it.
+
+    Of the first ``width`` characters, those whose columns end inside it are kept.
+    """
+    chars = F.split(F.left(col, F.lit(width)), "")
+    ends = F.aggregate(chars, F.array().cast("array<int>"), lambda acc, c: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + display_width(c)))
+    kept = F.size(F.filter(ends, lambda e: e <= width - 1))
+    return F.when(display_width(col) <= width, col).otherwise(F.concat(F.left(col, kept), F.lit("…")))
+
+
+def tool_output_id(entry: Column, parent: Column, block: Column, kind: Column, ident: Column) -> Column:
+    """Names the output of one tool call or result in a viewer."""
+    text = lambda c: c.cast("string")
+    return F.concat(F.lit("entry:"), text(entry), F.lit(":parent:"), F.coalesce(parent, F.lit("top")), F.lit(":block:"), text(block), F.lit(":kind:"), kind, F.lit(":id:"), F.coalesce(ident, F.lit("none")))
+
+
+def tool_summary_id(entry: Column, parent: Column) -> Column:
+    return F.concat(F.lit("entry:"), entry.cast("string"), F.lit(":parent:"), F.coalesce(parent, F.lit("top")), F.lit(":kind:summary"))
+
+
+def chunk_label(rationale: Column, hybrid: Column, semantic: Column, lexical: Column) -> Column:
+    """Why a chunk was found, and its scores."""
+    return F.format_string("%s hybrid=%.3f semantic=%.3f lexical=%.3f", rationale, hybrid.cast("double"), semantic.cast("double"), lexical.cast("double"))

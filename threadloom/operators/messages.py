@@ -130,8 +130,8 @@ def _any(flag: str) -> Column:
 def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1, limit: int | None = SEGMENT_CHARS) -> DataFrame:
     """Messages that hold all words and literals of the query, with scores and ranges.
 
-    ``rows`` are messages of :func:`delivery.delivered`; a column ``timestamp``, the time of
-    the conversation, goes along. ``limit`` bounds the characters of a segment; without it
+    ``rows`` are messages of :func:`delivery.delivered`, or others with an ordinal; a column
+    ``timestamp``, the time of the conversation, goes along. ``limit`` bounds the characters of a segment; without it
     parts of any length are searched whole.
 
     ``conv_ref, ordinal, score, source, preview, focus, read, tools, tool_results,
@@ -141,6 +141,8 @@ def hits(rows: DataFrame, query: str | ParsedQuery, radius: int = 1, limit: int
 
     All words must match in one message; an empty query finds nothing.
     """
+    if "message_count" not in rows.columns:
+        rows = rows.join(rows.groupBy("conv_ref").agg(F.max("ordinal").alias("message_count")), "conv_ref")
     q = parse(query) if isinstance(query, str) else query
     words, literals = ([], list(q.literals)) if q.quoted_only else (q.words, q.required)
     if not words and not literals:

@@ -183,10 +183,12 @@ def rank(chunks: DataFrame, vector: list[float], query: str, top: int | None = N
     """The best chunk of every conversation, best first.
 
     ``hybrid`` is the cosine plus the overlap of words. Quoted literals must occur in
-    the chunk itself. Chunks whose vector has another length do not count.
+    the chunk itself. Chunks whose vector has another length, or a value that is null or
+    not finite, do not count.
     """
     q = parse(query)
-    usable = chunks.where(F.size("embedding") == len(vector)).where(all_of([has_literal(F.col("text"), x) for x in q.literals]))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = chunks.where((F.size("embedding") == len(vector)) & ~odd).where(all_of([has_literal(F.col("text"), x) for x in q.literals]))
     # The vector's sum and norm are constants of the plan; the data side is one pass.
     wanted = F.array(*[F.lit(float(v)) for v in vector])
     scored = usable.withColumn("semantic", cosine(F.col("embedding"), wanted)).withColumn("lexical", overlap_score(F.col("text"), q.unquoted or query))
@@ -196,7 +198,7 @@ def rank(chunks: DataFrame, vector: list[float], query: str, top: int | None = N
         scored.withColumn("_r", F.row_number().over(best))
         .where(F.col("_r") == 1)
         .select(
-            "conv_ref", "session_id", "chunk_id", "chunk_index", "m_start", "m_end", "semantic", "lexical", "hybrid",
+            "conv_ref", *(c for c in ("source",) if c in chunks.columns), "session_id", "chunk_id", "chunk_index", "m_start", "m_end", "semantic", "lexical", "hybrid",
             quality(F.col("hybrid")).alias("quality"), rationale(F.col("hybrid"), F.col("lexical")).alias("rationale"),
         )
     )

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from threadloom.functions.labels import tool_summary
 from threadloom.functions.matching import fold_case
@@ -127,3 +128,30 @@ def entry_text(entries: DataFrame, tools: bool = False, thinking: bool = False)
 
     texts = F.filter(F.transform("blocks", shown), lambda t: ~is_blank(t))
     return entry_index(entries).where(F.size("blocks") > 0).select("path", "entry_index", F.array_join(texts, "\n\n").alias("text"))
+
+
+def result_display(content: Column) -> Column:
+    """What a viewer shows of a tool result (VARIANT): its text, else its JSON spread over lines.
+
+    A string stands for itself, of an array the texts of its items apart by blank lines;
+    nothing at all is ``<no content>``.
+    """
+    items = F.try_variant_get(content, "$", "array<variant>")
+    texts = F.filter(F.transform(items, lambda v: F.try_variant_get(v, "$.text", "string")), lambda t: t.isNotNull())
+    plain = F.when(F.startswith(F.schema_of_variant(content), F.lit("STRING")), F.try_variant_get(content, "$", "string"))
+    return F.when(content.isNull(), "<no content>").otherwise(
+        F.coalesce(plain, F.when(F.size(texts) > 0, F.array_join(texts, "\n\n")), pretty_json(F.to_json(content)))
+    )
+
+
+@F.pandas_udf(StringType())
+def pretty_json(texts: pd.Series) -> pd.Series:
+    """JSON over several lines, keys in order; text that is none stays."""
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return text
+
+    return texts.map(one)

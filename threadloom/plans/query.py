@@ -66,6 +66,37 @@ def effective_mode(query: ParsedQuery, given: str | None = None, configured: str
     return mode
 
 
+def shown_mode(mode: str) -> str:
+    """The mode an interactive list runs in: it has no exact and no hybrid one."""
+    return "semantic" if mode == "semantic" else "lexical"
+
+
+@dataclass(frozen=True)
+class SearchOptions:
+    """Settings of a search, read from ``[search]`` of a TOML file; unknown keys are errors."""
+
+    mode: str = "lexical"
+    top: int = 10
+    hits_per_conversation: int = 2
+    budget: int = 6000
+    include_agents: bool = True
+    exclude_projects: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode {self.mode!r}")
+
+    @classmethod
+    def from_toml(cls, text: str) -> SearchOptions:
+        import tomllib
+
+        given = tomllib.loads(text).get("search", {})
+        unknown = set(given) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 

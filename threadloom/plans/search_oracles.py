@@ -87,6 +87,14 @@ fields AS (
 _HEAD = f"WITH {_CURRENT},\n{_TEXTS}\n"
 
 
+def _score(words: list[str]) -> str:
+    parts = []
+    for name, weight in WEIGHTS.items():
+        tf = " + ".join(f"ln(1 + {prefix(f'{name}_l', w, 10)})" for w in words)
+        parts.append(f"{weight} * ({tf}) + {2 * weight} * {adjacent(f'{name}_l', words)}")
+    return " + ".join(parts) + " + fresh"
+
+
 def _scored(words: list[str], literals: tuple[tuple[str, bool], ...] = (), where: str = "true", columns: str = "", tail: str = "") -> str:
     parts, fields = [], []
     for name, weight in WEIGHTS.items():
@@ -149,14 +157,14 @@ best AS (
   SELECT row_id, count(DISTINCT term) AS terms, min(b0) AS b0, max(b1) AS b1, min(c0) AS c0, max(c1) AS c1, min(source) AS source,
          bool_or(kind = 'tool_use') AS tools, bool_or(kind = 'tool_result') AS tool_results, bool_or(kind = 'thinking') AS thinking
   FROM spans GROUP BY row_id),
-texts AS (SELECT row_id, body, {norm("body")} AS n FROM body),
+bodies AS (SELECT row_id, body, {norm("body")} AS n FROM body),
 hits AS (
   SELECT m.conv_ref, m.ordinal, 4.0 * terms + {3.0 * len(literals)} + 2.0 * ({pairs}) + 1.0 / greatest(b1 - b0, 1) AS score,
          ['dialogue', 'tool', 'thinking'][source + 1] AS source,
          left({squeeze("substring(body, greatest(c0 - 41, 0)::INT + 1, (c1 + 80 - greatest(c0 - 41, 0))::INT)")}, 160) AS preview,
          greatest(m.ordinal - 1, 1) AS read_start, least(m.ordinal + 1, size)::INT AS read_end, tools, tool_results, thinking, b0 AS first_offset, mtime,
          coalesce({trim("m.parent_tool_use_id")}, '') <> '' AS subagents
-  FROM best JOIN texts USING (row_id) JOIN m USING (row_id) JOIN sizes ON sizes.conv_ref = m.conv_ref
+  FROM best JOIN bodies USING (row_id) JOIN m USING (row_id) JOIN sizes ON sizes.conv_ref = m.conv_ref
   WHERE {" AND ".join(tests)})
 """
 
@@ -190,7 +198,63 @@ best AS (SELECT * FROM by_chunk WHERE rn = 1)"""
 
 _AGE = f"epoch_us({_NOW}) - epoch_us(mtime)"
 
+#: A search for two words: fifty conversations, the first ten of these that have hits, their hits ranked.
+_SEARCHED = (
+    _hits(["slow", "parser"])
+    + f""",
+{_TEXTS},
+listed AS (
+  SELECT conv_ref, min(rank) AS rank FROM (
+    SELECT conv_ref, row_number() OVER (ORDER BY {_score(["slow", "parser"])} DESC, mtime DESC NULLS LAST, conv_ref) AS rank FROM fields
+    WHERE {prefix("text_l", "slow", 1)} > 0 AND {prefix("text_l", "parser", 1)} > 0 QUALIFY rank <= 50) GROUP BY conv_ref),
+cut AS (
+  SELECT * FROM hits WHERE conv_ref IN (SELECT conv_ref FROM listed)
+  QUALIFY row_number() OVER (PARTITION BY conv_ref ORDER BY score DESC, ordinal, list_position(['dialogue', 'tool', 'thinking'], source), first_offset) <= 80),
+asked AS (SELECT conv_ref FROM listed WHERE conv_ref IN (SELECT conv_ref FROM cut) ORDER BY rank LIMIT 10),
+searched AS (SELECT *, row_number() OVER (ORDER BY score DESC, conv_ref, ordinal)::INT AS rank FROM cut WHERE conv_ref IN (SELECT conv_ref FROM asked))
+"""
+)
+_WIDE = "[\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{33FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A000}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE6F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}]"
+
+
+def _width(x: str) -> str:
+    return f"(length({x}) + len(regexp_extract_all({x}, '{_WIDE}')))"
+
+
 ORACLES = {
+    "searched_messages": _SEARCHED + "SELECT conv_ref, ordinal, round(score, 6) AS score, 'lexical' AS kind, rank FROM searched",
+    "hybrid_search": _SEARCHED
+    + f""", lex AS (SELECT conv_ref, ordinal AS start, ordinal AS finish, rank AS lr FROM searched WHERE rank <= 80),
+        {_CHUNKS.replace("best AS (SELECT * FROM by_chunk WHERE rn = 1)", "chunk AS (SELECT * FROM by_chunk WHERE rn = 1 AND m_start IS NOT NULL)")},
+        sem AS (SELECT conv_ref, m_start AS start, m_end AS finish, source = 'agent_subagent_dialogue' AS sub, row_number() OVER (ORDER BY round(hybrid, 9) DESC NULLS LAST, conv_ref, m_start)::INT AS sr FROM chunk QUALIFY sr <= 80),
+        titled AS (SELECT conv_ref, arg_max(coalesce(custom_title, summary, preview_first), (mtime, path)) AS title FROM current GROUP BY conv_ref)
+        SELECT conv_ref, start, finish, lr AS lexical_rank, sr AS semantic_rank, round(coalesce(1.0 / (60 + lr), 0) + coalesce(1.0 / (60 + sr), 0), 9) AS score,
+          CASE WHEN lr IS NOT NULL AND sr IS NOT NULL THEN 'hybrid' WHEN lr IS NULL THEN 'semantic' ELSE 'lexical' END AS source, coalesce(sub, false) AS subagents, title
+        FROM (SELECT * FROM lex FULL JOIN sem USING (conv_ref, start, finish)) JOIN titled USING (conv_ref)""",
+    "scoped_chunks": f"""WITH {_CURRENT} SELECT chunk_id, source FROM chunks
+        WHERE (source = 'visible_dialogue' AND conv_ref IN (SELECT conv_ref FROM current WHERE message_count > 10))
+           OR (source = 'agent_subagent_dialogue' AND conv_ref IN (SELECT conv_ref FROM current WHERE message_count > 10 AND agent_search_text <> ''))""",
+    "chunk_labels": f"""WITH {_CHUNKS} SELECT chunk_id, printf('%s hybrid=%.3f semantic=%.3f lexical=%.3f', CASE WHEN hybrid < 0.35 THEN 'weak_match' WHEN lexical > 0 THEN 'lexical_boosted' ELSE 'semantic_only' END,
+        round(hybrid, 3) + 0.0, round(semantic, 3) + 0.0, round(lexical, 3) + 0.0) AS label FROM best WHERE lexical IS NOT NULL""",
+    "key_prefixes": "SELECT chunk_id, nullif(regexp_extract(chunk_key, '(?s)^(.*):', 1), '') AS prefix FROM chunks",
+    "turn_totals": f"""WITH {_CURRENT}, f AS (SELECT coalesce(chunks.file_size = current.file_size AND chunks.mtime = current.mtime, false) AS fresh FROM chunks LEFT JOIN current ON chunks.conv_ref = current.conv_ref)
+        SELECT (SELECT sum(coalesce(len(semantic_turns), 0))::BIGINT FROM current) AS turns, count(*) FILTER (fresh) AS hits, count(*) FILTER (NOT fresh) AS misses FROM f""",
+    "message_clocks": "SELECT row_id, strftime(try_cast(ts AS TIMESTAMPTZ), '%H:%M') AS clock FROM messages",
+    "cut_snippets": f"""WITH s AS (SELECT doc_id, {squeeze("text")} AS one, left({squeeze("text")}, 80) AS hard FROM documents),
+        w AS (SELECT *, list_filter(range(0, 41), lambda n: {_width("left(hard, n)")} <= 39) AS fit FROM s)
+        SELECT doc_id, md5(CASE WHEN length(one) <= 260 THEN one ELSE left(one, 259) || '…' END) AS long, hard, {_width("hard")}::INT AS width,
+          CASE WHEN {_width("hard")} <= 40 THEN hard ELSE left(hard, list_max(fit)) || '…' END AS shown FROM w""",
+    "tool_output_ids": f"""{_LINES}, p AS (SELECT conv_ref, ordinal, coalesce(nullif({trim("parent_tool_use_id")}, ''), 'top') AS parent, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS n FROM m)
+        SELECT conv_ref, 'entry:' || ordinal || ':parent:' || parent || ':block:' || n || ':kind:' || CASE p.kind WHEN 'tool_use' THEN 'call:id:' || coalesce(p.id, 'none') ELSE 'result:id:' || coalesce(p.tool_use_id, 'none') END AS id,
+          'entry:' || ordinal || ':parent:' || parent || ':kind:summary' AS summary FROM p WHERE p.kind IN ('tool_use', 'tool_result')""",
+    "command_texts": f"""SELECT entry_id, CASE WHEN entry_id % 2 <> 0 THEN concat_ws(' ', '/note', nullif({trim("summary")}, '')) END AS skill,
+        concat_ws(' ', CASE WHEN entry_id % 2 = 0 THEN '/clear' ELSE '/note' END, nullif({trim("summary")}, '')) AS tag,
+        CASE WHEN entry_id % 3 = 0 THEN nullif({trim("summary")}, '') END AS output, summary AS plain FROM cache_entries WHERE summary IS NOT NULL""",
+    "result_displays": """WITH p AS (SELECT row_id, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS n FROM messages)
+        SELECT row_id, n::INT AS n, CASE row_id % 4 WHEN 0 THEN coalesce(p.content, '<no content>')
+          WHEN 1 THEN coalesce(p.content || chr(10) || chr(10) || p.content, '[' || chr(10) || '  {},' || chr(10) || '  {}' || chr(10) || ']')
+          WHEN 2 THEN '{' || chr(10) || '  "a": "x",' || chr(10) || '  "b": [' || chr(10) || '    1,' || chr(10) || '    null' || chr(10) || '  ]' || chr(10) || '}' ELSE '<no content>' END AS shown
+        FROM p WHERE p.kind = 'tool_result'""",
     "current_entries": f"WITH {_CURRENT} SELECT entry_id, path, file_size, message_count FROM current",
     "list_projects": f"WITH {_CURRENT} SELECT project_dir, count(*) AS transcripts, epoch_us(max(mtime)) AS latest FROM current GROUP BY project_dir",
     "session_labels": f"WITH {_CURRENT} SELECT path, CASE WHEN session_id IS NULL OR count(*) OVER (PARTITION BY session_id) > 1 THEN path ELSE session_id END AS label FROM current",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from threadloom.functions import cleaning, labels, matching, paths
 from threadloom.functions.text import blank_to_null
-from threadloom.operators import activity, corpus, delivery, evidence, export, lexical, messages, positions, protocol, ranking, semantic, viewer
+from threadloom.operators import activity, corpus, delivery, evidence, export, lexical, messages, positions, protocol, ranking, retrieval, semantic, viewer
 from threadloom.plans.query import digest
 from threadloom.session import table
 
@@ -258,8 +258,7 @@ _VECTOR = [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64
 
 
 def _chunks(spark, root):
-    finite = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return table(spark, root, "chunks").where(~F.coalesce(finite, F.lit(True)))
+    return table(spark, root, "chunks")
 
 
 def best_chunks(spark, root):
@@ -339,7 +338,79 @@ def model_labels(spark, root):
     return table(spark, root, "cache_entries").select("entry_id", viewer.model_label(F.col("model")).alias("model"))
 
 
+def hybrid_search(spark, root):
+    """A search from the query to fused hits: shortlist, early stop, chunks of both sources."""
+    found = retrieval.hybrid(_corpus(spark, root), _messages(spark, root), _chunks(spark, root), "slow parser", _VECTOR, _now())
+    return found.select("conv_ref", F.col("focus.start").alias("start"), F.col("focus.end").alias("finish"), "lexical_rank", "semantic_rank", F.round("score", 9).alias("score"), "source", "subagents", "title")
+
+
+def searched_messages(spark, root):
+    """Hits of a search that stops once ten conversations have some."""
+    found = retrieval.message_hits(_corpus(spark, root), _messages(spark, root), "slow parser", _now(), top=10)
+    return found.select("conv_ref", "ordinal", F.round("score", 6).alias("score"), "kind", "rank")
+
+
+def scoped_chunks(spark, root):
+    """Chunks of the newest files only, and only of sources that these files have."""
+    scope = _entries(spark, root).where("coalesce(message_count, 0) > 10").select("conv_ref", F.explode(F.array(F.lit(retrieval.VISIBLE), F.when(F.coalesce("agent_search_text", F.lit("")) != "", F.lit(retrieval.SUBAGENT)))).alias("source"))
+    return retrieval.candidates(_chunks(spark, root), scope.where("source is not null")).select("chunk_id", "source")
+
+
+def chunk_labels(spark, root):
+    best = semantic.rank(_chunks(spark, root), _VECTOR, "slow parser").where(F.col("lexical").isNotNull())
+    return best.select("chunk_id", labels.chunk_label(F.col("rationale"), F.round("hybrid", 3), F.round("semantic", 3), F.round("lexical", 3)).alias("label"))
+
+
+def key_prefixes(spark, root):
+    return _chunks(spark, root).select("chunk_id", labels.key_prefix(F.col("chunk_key")).alias("prefix"))
+
+
+def turn_totals(spark, root):
+    """Turns of all current files, and how many chunks the index still has for them."""
+    entries = _entries(spark, root)
+    files = entries.select("conv_ref", F.col("file_size").alias("now_size"), F.col("mtime").alias("now_time"))
+    fresh = (F.col("file_size") == F.col("now_size")) & (F.col("mtime") == F.col("now_time"))
+    chunks = _chunks(spark, root).join(files, "conv_ref", "left").agg(F.count_if(F.coalesce(fresh, F.lit(False))).alias("hits"), F.count_if(~F.coalesce(fresh, F.lit(False))).alias("misses"))
+    return entries.agg(F.sum(F.coalesce(F.size("semantic_turns"), F.lit(0))).alias("turns")).crossJoin(chunks)  # one row by one row
+
+
+def message_clocks(spark, root):
+    return table(spark, root, "messages").select("row_id", labels.clock_label(F.col("ts")).alias("clock"))
+
+
+def cut_snippets(spark, root):
+    """Documents as lists show them: by characters, and by columns of a terminal."""
+    text = F.col("text")
+    return table(spark, root, "documents").select("doc_id", F.md5(labels.snippet(text, 260, "…")).alias("long"), labels.hard_cut(text).alias("hard"), labels.display_width(labels.hard_cut(text)).alias("width"), labels.display_cut(labels.hard_cut(text), 40).alias("shown"))
+
+
+def tool_output_ids(spark, root):
+    p = _messages(spark, root).select("conv_ref", "ordinal", blank_to_null("parent_tool_use_id").alias("parent"), F.posexplode("parts").alias("n", "p")).where(F.col("p.kind").isin("tool_use", "tool_result"))
+    kind = F.when(F.col("p.kind") == "tool_use", "call").otherwise("result")
+    ident = F.when(F.col("p.kind") == "tool_use", F.col("p.id")).otherwise(F.col("p.tool_use_id"))
+    return p.select("conv_ref", labels.tool_output_id(F.col("ordinal"), F.col("parent"), F.col("n"), kind, ident).alias("id"), labels.tool_summary_id(F.col("ordinal"), F.col("parent")).alias("summary"))
+
+
+def command_texts(spark, root):
+    """Titles wrapped as commands, outputs and plain text, as previews and exports show them."""
+    e = table(spark, root, "cache_entries").where("summary is not null")
+    text = F.concat(F.lit(" <command-name>/"), F.when(F.col("entry_id") % 2 == 0, "clear").otherwise("note"), F.lit("</command-name><command-args>"), F.col("summary"), F.lit("</command-args>"))
+    out = F.concat(F.lit("<local-command-stdout>"), F.when(F.col("entry_id") % 3 == 0, F.col("summary")).otherwise(" "), F.lit("</local-command-stdout>\n"))
+    return e.select("entry_id", cleaning.skill_preview(text).alias("skill"), cleaning.command_tag(text).alias("tag"), cleaning.export_command(out).alias("output"), cleaning.export_command(F.col("summary")).alias("plain"))
+
+
+def result_displays(spark, root):
+    """Results of tools as a viewer shows them: as text, as items, as JSON, and nothing."""
+    p = table(spark, root, "messages").select("row_id", F.posexplode("parts").alias("n", "p")).where(F.col("p.kind") == "tool_result")
+    form = F.col("row_id") % 4
+    item = F.to_json(F.struct(F.col("p.content").alias("text")))
+    json = F.when(form == 0, F.to_json(F.struct(F.col("p.content").alias("t")))).when(form == 1, F.concat(F.lit("["), item, F.lit(","), item, F.lit("]"))).when(form == 2, F.lit('{"b":[1,null],"a":"x"}'))
+    content = F.when(form == 0, F.try_variant_get(F.parse_json(json), "$.t", "variant")).otherwise(F.try_parse_json(json))
+    return p.select("row_id", "n", viewer.result_display(content).alias("shown"))
+
+
 _NAMES = (
+    "hybrid_search searched_messages scoped_chunks chunk_labels key_prefixes turn_totals message_clocks cut_snippets tool_output_ids command_texts result_displays "
     "current_entries list_projects session_labels parse_failures project_names cached_files normalized_documents prefix_counts cleaned_documents "
     "semantic_turns atoms entry_labels lexical_single lexical_multi lexical_top lexical_fields lexical_scoped lexical_excluded exact_insensitive "
     "exact_sensitive mixed_literal identifier_literal browse message_words message_literal message_tools hits_per_conversation grouped_hits outlines "
