@@ -59,3 +59,16 @@ def test_without_labels_or_rows(spark):
     levels = {r["level"] for r in reading.reading_levels(spark.createDataFrame(rows, DOCS), none).collect()}
     assert levels and levels <= {1, 2, 3, 4, 5}
     assert reading.reading_levels(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_few_labels_shift_the_published_formula_and_do_not_replace_it(spark):
+    """The same documents with 0, 1, 10 and 60 labels: levels change step by step, with no jump at any number."""
+    rows, labels = corpus(60)
+    docs = spark.createDataFrame(rows, DOCS)
+    found = []
+    for n in (0, 1, 10, 60):
+        got = reading.reading_levels(docs, spark.createDataFrame(labels[:n], LABELS)).toPandas().sort_values("doc_id")
+        found.append(got.level.to_numpy())
+    true = np.array([level for _, level, *_ in labels])
+    off = [np.abs(f - true).mean() for f in found]
+    assert off[3] <= off[0] and np.abs(found[1] - found[0]).mean() <= 1

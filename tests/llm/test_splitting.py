@@ -68,3 +68,23 @@ def test_pieces_of_dirty_rows(spark):
 
 def test_empty_table(spark):
     assert splitting.pieces(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_flags_and_syllables_stay_whole():
+    flags = "\U0001f1e9\U0001f1ea" * 500
+    for a, _ in splitting.split_points(flags, splitting.Limits(240, 40)):
+        assert a % 2 == 0
+    syllables = "한" * 500
+    for a, _ in splitting.split_points(syllables, splitting.Limits(240, 40)):
+        assert a % 3 == 0
+
+
+def test_overlaps_keep_near_their_size():
+    import random
+
+    rng = random.Random(4)
+    text = " ".join("word" * rng.randint(1, 9) + rng.choice(["", ".", ",", "\n\n"]) for _ in range(3000))
+    pieces = splitting.split_points(text)
+    assert len(pieces) > 10
+    for (_, end), (start, _) in zip(pieces, pieces[1:]):
+        assert 100 <= end - start <= 500

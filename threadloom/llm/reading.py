@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions.text import blank_to_null
+from threadloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Options:
     """``shares``: document shares tried for the familiar list, rising; the one that
-    fits the labels best is taken (the middle one without labels). ``label_limit``:
-    labelled documents used for fitting, chosen by hash. ``least_words``: shorter
-    prose gets no level. ``own_share``: paragraphs with a smaller share of familiar
-    words are in another language and no part of the document's prose."""
-
-    shares: tuple[float, ...] = (0.25, 0.3, 0.35)
+    fits the labels best is taken. ``own_language``: the share of the words that tell the
+    language; lines in which fewer than ``own_share`` of the words reach it are in another
+    language and no part of the document's prose. ``label_limit``: labelled documents used
+    for fitting, chosen by hash. ``prior``: what the published formula weighs, in labels.
+    ``least_words``: shorter prose gets no level."""
+
+    shares: tuple[float, ...] = (0.01, 0.03, 0.1, 0.25, 0.3, 0.35)
+    own_language: float = 0.25
     label_limit: int = 20_000
+    prior: float = 5.0
     least_words: int = 5
     own_share: float = 0.1
 
@@ -107,7 +111,7 @@ def familiar_words(texts: DataFrame, options: Options = Options()) -> dict[str,
     return {r["word"]: sum(r["docs"] >= s * total for s in options.shares) for r in rows}
 
 
-def _measure(shared, n_shares: int, own_share: float):
+def _measure(shared, n_shares: int, own_from: int, own_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.get
         for batch in batches:
@@ -123,7 +127,7 @@ def _measure(shared, n_shares: int, own_share: float):
                 for line in prose_lines(text):
                     got = Counter(map(level, _WORD.findall(line.lower())))
                     total = got.total()
-                    if not total or total - got[None] < own_share * total:
+                    if not total or sum(n for at, n in got.items() if at is not None and at > own_from) < own_share * total:
                         continue
                     reached.update(got)
                     words[i] += total
@@ -146,7 +150,7 @@ def measures(documents: DataFrame, familiar: dict[str, int], options: Options =
     columns = "".join(f", strange_{k} long" for k in range(len(options.shares)))
     shared = documents.sparkSession.sparkContext.broadcast(familiar)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _measure(shared, len(options.shares), options.own_share), f"doc_id long, words long, sentences long{columns}"
+        _measure(shared, len(options.shares), sum(x < options.own_language for x in options.shares), options.own_share), f"doc_id long, words long, sentences long{columns}"
     )
 
 
@@ -170,37 +174,49 @@ class Formula:
 
 
 def default_formula(options: Options) -> Formula:
-    """Dale and Chall's published weights, for corpora without labels.
+    """Dale and Chall's published weights, which labels are weighed against.
 
     15.79 u + 0.0496 s is taken at s = e^(log s) near 15 words; the cuts are the
     formula's grade bands 5, 6, 7 and 9.
     """
-    return Formula(len(options.shares) // 2, (3.6365, 15.79, 0.0, 0.0496 * 15 / 2.7, 0.0), (5.0, 6.0, 7.0, 9.0))
+    return Formula(sum(x < options.own_language for x in options.shares), (3.6365, 15.79, 0.0, 0.0496 * 15 / 2.7, 0.0), (5.0, 6.0, 7.0, 9.0))
 
 
-def _cuts(score: np.ndarray, level: np.ndarray) -> list[float]:
-    """For each step between levels the cut with the fewest labels on the wrong side.
+def _cuts(score: np.ndarray, level: np.ndarray, weight: np.ndarray) -> list[float]:
+    """For each step between levels the cut with the least weight on the wrong side.
 
     Among equals it is the middle one, and a cut never lies below the one before.
     """
     order = np.argsort(score, kind="stable")
-    z, y = score[order], level[order]
+    z, y, w = score[order], level[order], weight[order]
     edges = np.concatenate([[z[0] - 1e-6], (z[1:] + z[:-1]) / 2, [z[-1] + 1e-6]])
     out: list[float] = []
     for step in range(2, 6):
-        above = (y >= step).astype(int)
-        wrong = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([[0], np.cumsum(1 - above)])[-1] - np.concatenate([[0], np.cumsum(1 - above)])
-        best = np.flatnonzero(wrong == wrong.min())
+        above = np.concatenate([[0], np.cumsum(w * (y >= step))])
+        below = np.concatenate([[0], np.cumsum(w * (y < step))])
+        wrong = above + below[-1] - below
+        best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
         cut = float(edges[best[len(best) // 2]])
         out.append(max(cut, out[-1]) if out else cut)
     return out
 
 
+def _published(options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The published formula as labels: unfamiliar share, log of sentence length, level."""
+    formula = default_formula(options)
+    u, s = (g.ravel() for g in np.meshgrid(np.linspace(0.0, 0.5, 21), np.log(np.linspace(6, 40, 18))))
+    w = formula.weights
+    score = w[0] + w[1] * u + w[2] * u * u + w[3] * s + w[4] * u * s
+    # Between two grade bands the level is a fraction.
+    return u, s, np.interp(score, (4.0, *formula.cuts), (1.0, 1.5, 2.5, 3.5, 4.5), right=5.0)
+
+
 def fit(measured: DataFrame, labels: DataFrame, options: Options = Options()) -> Formula:
     """Weights by least squares on labelled documents, cuts by fewest errors.
 
-    Several labels of one document are averaged. With fewer than 50 usable documents,
-    or labels of one level only, the published weights stand.
+    Several labels of one document are averaged. The published formula counts as
+    ``prior`` labels spread over all shares and lengths: few labels shift it, many
+    outweigh it, and without any it stands.
     """
     chosen = (
         labels.where(F.col("reading_level").between(1, 5) & F.col("doc_id").isNotNull())
@@ -210,22 +226,31 @@ def fit(measured: DataFrame, labels: DataFrame, options: Options = Options()) ->
         .limit(options.label_limit)
     )
     rows = measured.join(chosen, "doc_id").where(F.col("words") >= options.least_words).toPandas()
-    if len(rows) < 50 or rows.level.nunique() < 2:
-        return default_formula(options)
-    y, s = rows.level.to_numpy(float), np.log(rows.words / rows.sentences).to_numpy(float)
+    pu, ps, py = _published(options)
+    own = default_formula(options).share
+    real = np.concatenate([np.ones(len(rows), bool), np.zeros(len(pu), bool)])
+    weight = np.where(real, 1.0, options.prior / len(pu))
+    y = np.concatenate([rows.level.to_numpy(float), py])
+    s = np.concatenate([np.log((rows.words / rows.sentences).to_numpy(float)), ps])
     best = None
-    for k in range(len(options.shares)):
-        u = (rows[f"strange_{k}"] / rows.words).to_numpy(float)
+    # The published list first, so that it stays where labels prefer none.
+    for k in sorted(range(len(options.shares)), key=lambda k: k != own):
+        u = np.concatenate([(rows[f"strange_{k}"] / rows.words).to_numpy(float), pu])
         x = np.column_stack([np.ones(len(u)), u, u * u, s, u * s])
-        w = np.linalg.lstsq(x, y, rcond=None)[0]
+
+        def solve(weight):
+            root = np.sqrt(weight)
+            return np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
+
+        w = solve(weight)
         # Labels far off the first fit are mistakes of a rater; the second leaves them out.
         off = np.abs(x @ w - y)
-        near = off <= max(1.0, float(np.quantile(off, 0.9)))
-        w = np.linalg.lstsq(x[near], y[near], rcond=None)[0]
+        near = ~real | (off <= max(1.0, float(np.quantile(off[real], 0.9)) if real.any() else 1.0))
+        w = solve(weight * near)
         z = x @ w
-        cuts = _cuts(z, np.floor(y + 0.5))
-        right = float(np.mean((z >= cuts[2]) == (y >= 3.5)))
-        if best is None or right > best.agreement + 1e-9:
+        cuts = _cuts(z, np.floor(y + 0.5), weight)
+        right = float(np.mean((z[real] >= cuts[2]) == (y[real] >= 3.5))) if real.any() else None
+        if best is None or (right is not None and right > best.agreement + 1e-9):
             best = Formula(k, tuple(map(float, w)), tuple(cuts), right)
     return best
 
@@ -239,13 +264,13 @@ def reading_levels(documents: DataFrame, labels: DataFrame, options: Options = O
     Defined results: null and blank texts, and documents with fewer than
     ``least_words`` words of prose, have null scores and levels; other languages are
     left out; a document that comes twice is measured twice; without labels the
-    published weights stand; no documents give no rows; other columns may have any
+    published formula stands; no documents give no rows; other columns may have any
     name.
     """
     english = documents.where(is_english("lang"))
     texts = english.where(F.col("text").isNotNull()).select("text")
     familiar = familiar_words(texts, options)
-    measured = measures(english, familiar, options).persist()
+    measured = cut_lineage(measures(english, familiar, options), "measures")
     formula = fit(measured, labels, options)
     enough = F.col("words") >= options.least_words
     score = F.when(enough, formula.score())

@@ -48,6 +48,14 @@ def _inside(text: str, i: int) -> bool:
         return True
     if "\U0001f3fb" <= c <= "\U0001f3ff":
         return True
+    if "\U0001f1e6" <= c <= "\U0001f1ff" and "\U0001f1e6" <= before <= "\U0001f1ff":
+        # Two of them are one flag; an odd number before the cut parts a pair.
+        first = i
+        while first > 0 and "\U0001f1e6" <= text[first - 1] <= "\U0001f1ff":
+            first -= 1
+        return (i - first) % 2 == 1
+    if "ᅠ" <= c <= "ᇿ" and ("ᄀ" <= before <= "ᇿ" or "가" <= before <= "힣"):
+        return True  # vowels and finals of Hangul belong to what is before them
     return c == "\n" and before == "\r"
 
 
@@ -111,13 +119,15 @@ def split_points(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
     """Character ranges of the pieces of ``text``; one range if it is short enough.
 
     Every piece has at most ``limits.size`` bytes, each starts before the one before
-    it ends (by about ``limits.overlap`` bytes) and together they cover the text.
+    it ends, by ``limits.overlap`` bytes or up to two thirds more or less, and together they
+    cover the text. Only where eight pieces more than needed do not give such overlaps
+    (a text without places to cut) other overlaps are taken.
     """
     t = _Text(text)
     total = t.bytes
     if total <= limits.size:
         return [(0, len(text))]
-    count = -(-(total - limits.overlap) // (limits.size - limits.overlap))
+    count = least = -(-(total - limits.overlap) // (limits.size - limits.overlap))
     while True:
         step = (total - limits.overlap) / count
         reach = min(step / 6, limits.size / 4)
@@ -130,7 +140,10 @@ def split_points(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
             else:
                 start = end
         pieces.append((start, len(text)))
-        if all(a < b and t.at[b] - t.at[a] <= limits.size for a, b in pieces):
+        fits = all(a < b and t.at[b] - t.at[a] <= limits.size for a, b in pieces)
+        # Runs of joined characters may leave no cut at a good distance, however many pieces there are.
+        even = all(abs(t.at[b] - t.at[a] - limits.overlap) <= limits.overlap * 2 // 3 for (_, b), (a, _) in zip(pieces, pieces[1:]))
+        if fits and (even or count > least + 8):
             return pieces
         count += 1
 
