@@ -154,14 +154,13 @@ def test_only_changed_files_are_folded_again(spark, tmp_path):
         (root / name).write_text("".join(json.dumps(x) + "\n" for x in lines))
 
     store = manifest.Store(spark, f"file://{tmp_path}/store")
-    read = lambda: jsonl.read_lines(spark, f"file://{tmp_path}/t")
     put("a.jsonl", user("one"))
     put("b.jsonl", user("two"))
     put("c.jsonl", *CLEAR)
-    assert manifest.refresh(store, read(), work).where("not is_empty").count() == 2
+    assert manifest.refresh(store, f"file://{tmp_path}/t", work).where("not is_empty").count() == 2
     put("b.jsonl", user("two"), answer("three"))
     (root / "a.jsonl").rename(root / "d.jsonl")
-    got = manifest.refresh(store, read(), work)
+    got = manifest.refresh(store, f"file://{tmp_path}/t", work)
     assert seen == [["a.jsonl", "b.jsonl", "c.jsonl"], ["b.jsonl", "d.jsonl"]]
     assert {r["path"].rsplit("/", 1)[1]: r["is_empty"] for r in got.collect()} == {"b.jsonl": False, "c.jsonl": True, "d.jsonl": False}
     assert manifest.Store(spark, f"file://{tmp_path}/store", key="other").read() is None
@@ -217,3 +216,33 @@ def test_windowed_events(spark, data, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_null_texts_are_not_embedded_anew(spark, tmp_path):
+    store = manifest.Store(spark, f"file://{tmp_path}/vectors", "hash-8")
+    asked = []
+
+    def embed(chunks):
+        asked.append(chunks.count())
+        return chunks.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+
+    rows = spark.createDataFrame([("a:0", None), ("a:0", None), ("a:1", "x")], "chunk_key string, text string")
+    assert manifest.refresh_embeddings(store, rows, embed).count() == 3
+    assert manifest.refresh_embeddings(store, rows, embed).count() == 3 and asked == [3, 0]
+
+
+def test_listing_opens_no_file(spark, tmp_path):
+    folder = tmp_path / "-home-u-code--worktrees-x"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text("1\n")
+    (folder / "agent-b.jsonl").write_text("1\n")
+    found = jsonl.newest_files(jsonl.list_files(spark, f"file://{tmp_path}")).collect()
+    assert [(r["file_name"], r["file_size"], r["project_name"]) for r in found] == [("a.jsonl", 2, "code/x")]
+    plan = jsonl.list_files(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_a_bad_line_can_end_the_query(spark, fold_of):
+    _, entries = fold_of(user("hi"), "{{no json")
+    with pytest.raises(Exception, match="line 2: not JSON"):
+        fold.messages(entries, bad="fail").count()

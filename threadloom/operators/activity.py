@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions.text import blank_to_null
 from threadloom.operators.positions import positions, running_sum
+from threadloom.session import cut_lineage
 
 # Tools that are counted by themselves, as (counter, tool, verb, noun), in the order of the sentence.
 TOOLS = (
@@ -60,7 +61,7 @@ def tool_runs(rows: DataFrame) -> DataFrame:
         blank_to_null("parent_tool_use_id").alias("parent"),
         F.when(only("tool_use") & (role == "assistant"), "call").when(only("tool_result") & (role == "user"), "result").otherwise("other").alias("is"),
     ).where(F.col("is") != "result")
-    placed = positions(marked, "conv_ref", "ordinal", "at").persist()
+    placed = cut_lineage(positions(marked, "conv_ref", "ordinal", "at"), "placed")
     before = placed.select("conv_ref", (F.col("at") + 1).alias("at"), F.col("is").alias("was"), F.col("parent").alias("had"))
     linked = placed.join(before, ["conv_ref", "at"], "left")
     goes_on = F.coalesce((F.col("was") == "call") & F.col("had").eqNullSafe(F.col("parent")), F.lit(False))

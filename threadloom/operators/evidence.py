@@ -22,14 +22,17 @@ GAP, SPAN, SHOWN, TERMS = 50, 200, 3, 64
 JOINTS = " _-/"
 
 
-def terms_of(query: str | ParsedQuery) -> list[tuple[str, bool]]:
-    """Words (False) and literals (True) to look for; equal but for case counts once."""
+def terms_of(query: str | ParsedQuery, limit: int | None = TERMS) -> list[tuple[str, bool]]:
+    """Words (False) and literals (True) to look for; equal but for case counts once.
+
+    Of longer queries the first ``limit`` terms are looked for, without a limit all.
+    """
     q = parse(query) if isinstance(query, str) else query
     words, out = [(w, False) for w in q.words], {}
     identifiers = [(t, True) for t in q.unquoted.split() if "_" in t]
     for text, literal in [*words, *identifiers, *((x, True) for x in q.literals)]:
         out.setdefault((text.lower(), literal), (text, literal))
-    return list(out.values())[:TERMS]
+    return list(out.values())[:limit]
 
 
 def _pattern(text: str, literal: bool) -> re.Pattern:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from threadloom.session import cut_lineage
+
 #: Constant of reciprocal-rank fusion (fixed value).
 RRF_K = 60
 #: A message that tools write by themselves (fixed value).
@@ -117,7 +119,7 @@ def group_hits(hits: DataFrame, per_conversation: int = 2, all_hits: bool = Fals
 
 def best_groups(grouped: DataFrame, top: int) -> DataFrame:
     """The hits of the ``top`` groups by score, then by conversation."""
-    grouped = grouped.persist()  # a few rows a conversation, so that the fold in Python runs once
+    grouped = cut_lineage(grouped, "groups")  # a few rows a conversation, so that the fold in Python runs once
     leaders = grouped.where(F.col("hit") == 1).orderBy(F.col("group_score").desc(), "conv_ref").limit(top).select("conv_ref")
     return grouped.join(leaders, "conv_ref", "left_semi")
 

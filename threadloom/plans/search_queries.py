@@ -305,13 +305,15 @@ def _refs(batches):
     for batch in batches:
         pairs = zip(batch.column("project_dir").to_pylist(), batch.column("file").to_pylist())
         refs = [None if p is None or f is None else f"ch_{digest(p, f)}" for p, f in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column("entry_id"), pa.array(refs, pa.string())], names=["entry_id", "ref"])
+        yield pa.RecordBatch.from_arrays([batch.column("project_dir"), batch.column("file"), pa.array(refs, pa.string())], names=["p", "f", "ref"])
 
 
 def conversation_refs(spark, root):
     """Refs made of project and file name; 128-bit arithmetic needs Python."""
     e = table(spark, root, "cache_entries").select("entry_id", "project_dir", F.element_at(F.split("path", "/"), -1).alias("file"))
-    return e.mapInArrow(_refs, "entry_id long, ref string")
+    # Each file once, however many versions it has.
+    refs = e.select("project_dir", "file").distinct().mapInArrow(_refs, "p string, f string, ref string")
+    return e.join(refs, F.col("project_dir").eqNullSafe(F.col("p")) & F.col("file").eqNullSafe(F.col("f")), "left").select("entry_id", "ref")
 
 
 def exported_paragraphs(spark, root):

@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from threadloom.functions.paths import decode_path, short_name
 from threadloom.functions.text import is_blank
 
-def read_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Every physical line of every transcript below ``root``, blank ones included.
+def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """Every transcript below ``root``, without its content: ``path, file_name, file_size, mtime``.
+
+    Files are listed, not opened, so this costs the same however large they are.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", str(recursive).lower())
+    files = reader.load(root).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("mtime"),
+    )
+    return files.where(~F.startswith("file_name", F.lit("agent-")))
+
+
+def newest_files(files: DataFrame) -> DataFrame:
+    """Listed files with their project's name and path, the latest first."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    return files.select("*", folder.alias("project_dir"), decode_path(folder).alias("project_path"), short_name(decode_path(folder)).alias("project_name")).orderBy(F.col("mtime").desc(), "path")
+
+
+def read_lines(spark: SparkSession, root: str | list[str], recursive: bool = True) -> DataFrame:
+    """Every physical line of every transcript below ``root``, or of a list of files, blank ones included.
 
     ``path, file_name, project_dir, session, file_size, mtime, line_no, raw``. A file
     is one transcript and is read by one task; files of agents are left out.
@@ -23,6 +45,11 @@ def read_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return _numbered(files)
 
 
+def no_lines(spark: SparkSession) -> DataFrame:
+    schema = "path string, file_name string, project_dir string, session string, file_size long, mtime timestamp, line_no int, raw string"
+    return spark.createDataFrame([], schema)
+
+
 def _numbered(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     return (

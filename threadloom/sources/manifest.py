@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.session import drop_path
+from threadloom.session import cut_lineage, drop_path, forget
+from threadloom.sources import jsonl
 
 #: Version of the layout; a store of another version is not read.
 SCHEMA_VERSION = 1
@@ -65,16 +66,28 @@ def changed_files(files: DataFrame, held: DataFrame | None) -> DataFrame:
     return files.join(held.select(*same).distinct(), same, "left_anti")
 
 
-def refresh(store: Store, lines: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Folds the changed transcripts and keeps the rest; files that are gone go.
+def read_changed(spark: SparkSession, root: str, files: DataFrame, held: DataFrame | None) -> DataFrame:
+    """The lines of the files that are not held as they are; the others are not opened.
+
+    Only names of changed files come to the driver.
+    """
+    if held is None:
+        return jsonl.read_lines(spark, root)
+    paths = [r["path"] for r in changed_files(files, held).select("path").toLocalIterator()]
+    return jsonl.read_lines(spark, paths) if paths else jsonl.no_lines(spark)
+
+
+def refresh(store: Store, root: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Folds the changed transcripts below ``root`` and keeps the rest; files that are gone go.
 
     ``fold`` makes rows with ``path`` of lines. Files that fold to nothing are kept as
-    empty entries, so they are not read again before they change.
+    empty entries, so they are not read again before they change. What changed is told by
+    a listing; unchanged files are not opened.
     """
-    files = lines.groupBy("path", "file_size", "mtime").agg(F.count(F.lit(1)).alias("lines")).drop("lines").persist()
+    files = cut_lineage(jsonl.list_files(store.spark, root).select("path", "file_size", "mtime"), "files")
     held = store.read()
     todo = changed_files(files, held)
-    fresh = fold(lines.join(todo.select("path"), "path", "left_semi"))
+    fresh = cut_lineage(fold(read_changed(store.spark, root, files, held)), "fresh")
     have = [c for c in ("file_size", "mtime") if c in fresh.columns]
     rows = todo.join(fresh.drop(*have), "path", "left").join(fresh.select("path", F.lit(False).alias("is_empty")).distinct(), "path", "left")
     rows = rows.withColumn("is_empty", F.coalesce("is_empty", F.lit(True)))
@@ -82,23 +95,27 @@ def refresh(store: Store, lines: DataFrame, fold: Callable[[DataFrame], DataFram
         keep = held.join(files, ["path", "file_size", "mtime"], "left_semi")
         rows = keep.unionByName(rows, allowMissingColumns=True)
     out = store.write(rows)
-    files.unpersist()  # the next call may find the same files with other content
+    forget(fresh)
+    forget(files)
     return out
 
 
 def refresh_embeddings(store: Store, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Embeds chunks whose key or text is new; vectors of unchanged chunks are reused.
 
-    Chunks of the same file that are no longer made disappear with the new version.
-    The store's key should name the model and the sizes the chunks were made with.
+    Chunks of the same file that are no longer made disappear with the new version. A
+    null text equals a null text; of a key that is held several times with one text any
+    vector is taken, as they are equal. The store's key should name the model and the
+    sizes the chunks were made with.
     """
     held = store.read()
     if held is None:
         return store.write(embed(chunks))
-    known = held.select("chunk_key", "text", "embedding")
-    joined = chunks.join(known, ["chunk_key", "text"], "left").persist()
+    known = held.groupBy(F.col("chunk_key").alias("_key"), F.col("text").alias("_text")).agg(F.first("embedding").alias("embedding"))
+    same = F.col("chunk_key").eqNullSafe(F.col("_key")) & F.col("text").eqNullSafe(F.col("_text"))
+    joined = cut_lineage(chunks.join(known, same, "left").drop("_key", "_text"), "vectors")
     old = joined.where(F.col("embedding").isNotNull())
     new = embed(joined.where(F.col("embedding").isNull()).select(*chunks.columns))
     out = store.write(old.select(*chunks.columns, "embedding").unionByName(new))
-    joined.unpersist()
+    forget(joined)
     return out

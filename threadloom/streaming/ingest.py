@@ -14,28 +14,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from threadloom.session import cut_lineage, forget
 from threadloom.sources import jsonl
-from threadloom.sources.manifest import Store
+from threadloom.sources.manifest import Store, read_changed
 
 
 def grown_lines(spark: SparkSession, root: str, store: Store) -> DataFrame:
     """Lines appended since the last call, with physical line numbers.
 
-    The store holds ``path, delivered``. A last line without its line end may still be
-    growing; it is delivered once another follows or the file stops changing.
+    The store holds ``path, file_size, mtime, delivered``. Files are listed, and only those
+    that changed are opened. A last line without its line end may still be growing; it is
+    delivered as it is, and again only if lines follow it.
     """
-    lines = jsonl.read_lines(spark, root).persist()
+    files = cut_lineage(jsonl.list_files(spark, root).select("path", "file_size", "mtime"), "files")
     held = store.read()
+    lines = read_changed(spark, root, files, held)
+    new = lines
     if held is not None:
         seen = lines.join(held.select("path", "delivered"), "path", "left")
         new = seen.where(F.col("line_no") > F.coalesce("delivered", F.lit(0))).drop("delivered")
-    else:
-        new = lines
-    from threadloom.session import cut_lineage
-
     out = cut_lineage(new, "lines")
-    store.write(lines.groupBy("path").agg(F.max("line_no").alias("delivered")))
-    lines.unpersist()
+    upto = out.groupBy("path").agg(F.max("line_no").alias("_now"))
+    before = files.withColumn("delivered", F.lit(0)) if held is None else files.join(held.select("path", "delivered"), "path", "left")
+    now = before.join(upto, "path", "left").select("path", "file_size", "mtime", F.coalesce("_now", "delivered", F.lit(0)).alias("delivered"))
+    store.write(now)
+    forget(files)
     return out
 
 
