@@ -5,9 +5,9 @@ and Spirakis): taking the documents of a source in the order of their keys is
 weighted sampling without replacement. A source's token budget is spent on complete
 epochs first and then on a prefix of that order.
 
-The prefix sums are taken in two steps, so that no source is sorted in one task:
-tokens are summed per narrow bin of the key, the bin in which the budget ends is
-found from the sums, and only that bin's documents are sorted.
+The prefix sums are taken in steps, so that no source is sorted in one task: tokens are
+summed per narrow bin of the key, the bin in which the budget ends is found from the
+sums and binned again more narrowly, and only the documents of that last bin are sorted.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.text import blank_to_null
+from threadloom.session import cut_lineage
 
 #: Split pattern of the public byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,6 +141,26 @@ def budgets(measured: DataFrame, table: DataFrame, options: Options = Options())
     )
 
 
+def _split(placed: DataFrame, bins: str) -> tuple[DataFrame, DataFrame]:
+    """Documents outside the bin in which their source's rest ends, with ``one_more``, and those in it.
+
+    ``before`` has the tokens that stand before a document's bins so far; in the second
+    part it is brought up to that bin. One row per source is broadcast.
+    """
+    sums = placed.groupBy("source", bins).agg(F.sum("tokens").alias("in_bin"), F.first("before").alias("so_far"), F.first("rest").alias("of_rest"))
+    upto = F.col("so_far") + F.sum("in_bin").over(Window.partitionBy("source").orderBy(bins).rowsBetween(Window.unboundedPreceding, 0))
+    ends = (
+        sums.withColumn("upto", upto)
+        .where((F.col("upto") >= F.col("of_rest")) & (F.col("of_rest") > 0))
+        .groupBy("source")
+        .agg(F.min(F.struct(F.col(bins).alias("at"), (F.col("upto") - F.col("in_bin")).alias("before"))).alias("cut"))
+    )
+    known = placed.join(F.broadcast(ends), "source", "left")
+    decided = known.where(~F.coalesce(F.col(bins) == F.col("cut.at"), F.lit(False)))
+    decided = decided.withColumn("one_more", F.coalesce((F.col(bins) < F.col("cut.at")).cast("int"), F.lit(0)))
+    return decided.drop("cut"), known.where(F.col(bins) == F.col("cut.at")).withColumn("before", F.col("cut.before")).drop("cut")
+
+
 def mix(documents: DataFrame, table: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """The documents of the mix with their copies, and the report of shares.
 
@@ -156,30 +177,18 @@ def mix(documents: DataFrame, table: DataFrame, options: Options = Options()) ->
     ordered by id; documents that come twice take part twice; empty tables give an
     empty mix; other columns may have any name.
     """
-    measured = sizes(documents, options).persist()
-    plan = budgets(measured, table, options).persist()
+    measured = cut_lineage(sizes(documents, options), "sizes")
+    plan = cut_lineage(budgets(measured, table, options), "budgets")
     wanted = F.broadcast(plan.select("source", "epochs", "rest"))  # a row per target source
-    sums = measured.groupBy("source", "bin").agg(F.sum("tokens").alias("in_bin"))
-    upto = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    last_bin = (
-        sums.withColumn("upto", upto)
-        .join(wanted, "source")
-        .where((F.col("upto") >= F.col("rest")) & (F.col("rest") > 0))
-        .groupBy("source")
-        .agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("before"))).alias("cut"))
-    )
-    placed = measured.join(wanted, "source").join(F.broadcast(last_bin), "source", "left")
-    inside = placed.where(F.col("bin") < F.col("cut.bin")).withColumn("one_more", F.lit(1))
-    edge = placed.where(F.col("bin") == F.col("cut.bin"))
+    placed = measured.join(wanted, "source").withColumn("before", F.lit(0).cast("long"))
+    decided, edge = _split(placed, "bin")
+    # The bin with the cut grows with its source, so it is binned again, more narrowly.
+    more, edge = _split(cut_lineage(edge.withColumn("fine", F.floor(F.log("key") * (options.bins * options.bins))), "edge"), "fine")
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("one_more", (F.col("cut.before") + before + F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    outside = placed.where(F.col("cut").isNull() | (F.col("bin") > F.col("cut.bin"))).withColumn("one_more", F.lit(0))
-    chosen = (
-        inside.unionByName(edge)
-        .unionByName(outside)
-        .select("doc_id", "source", "tokens", (F.col("epochs") + F.col("one_more")).cast("int").alias("copies"))
-        .where(F.col("copies") > 0)
-    )
+    edge = edge.withColumn("one_more", (F.col("before") + before + F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    shown = ("doc_id", "source", "tokens", "epochs", "one_more")
+    parts = decided.select(*shown).unionByName(more.select(*shown)).unionByName(edge.select(*shown))
+    chosen = parts.select("doc_id", "source", "tokens", (F.col("epochs") + F.col("one_more")).cast("int").alias("copies")).where(F.col("copies") > 0)
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"))
     report = plan.join(taken, "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     report = report.withColumn("actual_share", F.col("taken") / F.nullif(F.sum("taken").over(Window.partitionBy(F.lit(0))), F.lit(0))).select(
